@@ -6,9 +6,10 @@ t of either, so under any order of all shingles the first n - ceil(t n) + 1 of o
 1. Sets that are equal are one class, found by their 128-bit signature.
 2. First order: by hash. Of a class with a partner, a somewhat longer prefix must hold several shingles that another
    class's prefix has too; most classes end here, after their prefixes alone are shuffled.
-3. For the rest all shingles are counted. Rarest first, ties by three different hashes, are three more orders. Two
-   classes are candidates if they share a shingle in the first one's prefix; before verification they must share one in
-   each other order's prefix too.
+3. For the rest all shingles are counted. Those that one class alone has come first in three more orders; the others
+   follow by count and hash, or by either of two other hashes. Two classes are candidates if they share a shingle in the
+   first one's prefix, so early that enough of both can still follow; before verification they must share one in each
+   other order's prefix too.
 4. Verification counts the whole sets. Only components are wanted, so a candidate pair that is already connected needs no
    verification: rounds in which the members of a bucket are held against its pivot connect most, and then every pair
    that is still in two components is verified. No pair is left out otherwise.
@@ -28,6 +29,8 @@ from palimpsest.llm.common import LOWER, arrow_map, bloom, col, filter_log2, pro
 #: Odd multipliers, one for each place in a shingle and each order.
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 _MEMO = 1 << 18
+#: Longs of a set's bitmap: a member sets one of its bits.
+_BITMAP = 8
 
 
 class _Hashes(dict):
@@ -107,26 +110,30 @@ def whole_sets(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, si
 
 
 def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """sig, n, shared (sorted members that another class has) and the prefixes under three orders, of classes that share enough of their sets."""
+    """sig, n, shared (sorted members that another class has), its bitmap and prefixes under three orders, of classes that share enough of their sets."""
     tokens = sets.select("sig", F.explode("tokens").alias("token"))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     listed = tokens.join(df, "token").groupBy("sig").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
     sized = listed.join(sets.select("sig", F.size("tokens").cast("long").alias("n")), "sig").filter(F.size("tokens") * 100 >= F.col("n") * percent)
 
     def run(sizes: list, tokens: list, dfs: list) -> tuple:
-        out: tuple = ([], [], [], [])
+        out: tuple = ([], [], [], [], [])
         for n, token, count in zip(sizes, tokens, dfs, strict=True):
             t, c = np.array(token, np.int64), np.array(count, np.int64)
             # Members that no other class has come first in every order and match nothing.
             length = n - least_shared(n, percent) + 1 - (n - len(t))
             out[0].append(np.sort(t))
-            for k, store in enumerate(out[1:]):
+            bits = np.zeros(_BITMAP * 64, np.uint8)
+            bits[(t.view(np.uint64) * np.uint64(_ODD[4]) >> np.uint64(32)) % np.uint64(len(bits))] = 1
+            out[1].append(np.packbits(bits).view(np.int64))
+            for k, store in enumerate(out[2:]):
                 mixed = t.view(np.uint64) * np.uint64(_ODD[5 + k])
-                store.append(t[np.lexsort((mixed ^ (mixed >> np.uint64(31)), c))][:length])
+                mixed ^= mixed >> np.uint64(31)
+                store.append(t[np.lexsort((mixed, c)) if k == 0 else np.argsort(mixed)][:length])
         return out
 
     longs = T.ArrayType(T.LongType())
-    return arrow_map(sized.select("sig", "n", F.col("n").alias("__n"), "tokens", "dfs"), run, [("shared", longs), ("first", longs), ("second", longs), ("third", longs)], keep=2)
+    return arrow_map(sized.select("sig", "n", F.col("n").alias("__n"), "tokens", "dfs"), run, [("shared", longs), ("bits", longs), ("first", longs), ("second", longs), ("third", longs)], keep=2)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,51 +188,75 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("node", "label")
 
 
-def _similar_size(n: Column, m: Column, percent: int) -> Column:
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
-
+def _may_link(n: Column, e: Column, m: Column, f: Column, percent: int) -> Column:
+    """Whether sets of n and m members, of which e and f at most can be common, can be similar enough."""
+    return F.least(e, f) * (100 + percent) >= (n + m) * percent
 
-def linked(sets: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
-    """sig and label of each class that has a link to another one."""
-    postings = written(sets.select("sig", "n", F.explode("first").alias("token")))
-    size = postings.count()
-    labels: DataFrame | None = None
 
-    def labelled() -> DataFrame:
-        if labels is None:
-            return postings.withColumn("label", F.col("sig"))
-        return postings.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-
-    def joined(links: DataFrame) -> DataFrame | None:
-        """The labels after links are added: components of the labels that they connect."""
-        if links.isEmpty():
-            return labels
-        if labels is None:
-            return components(links).select(F.col("node").alias("sig"), "label")
-        known = labels.select(F.col("sig").alias("a"), F.col("label").alias("la"))
-        ends = links.join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b", "left")
-        merged = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top"))
-        whole = labels.join(merged, "label", "full").select(F.coalesce("sig", "label").alias("sig"), F.coalesce("top", "label").alias("label"))
-        own = merged.select(F.col("label").alias("sig"), F.col("top").alias("label"))
-        return written(whole.union(own).groupBy("sig").agg(F.min("label").alias("label")))
+def linked(sets: DataFrame, percent: int, rounds: int = 6) -> DataFrame:
+    """sig and label of each class that has a link to another one.
 
+    First the members of each bucket are held against one pivot, two pivots a member at most. Then, while it pays, the
+    members outside their bucket's largest label are held against members of that label, a few for each round, in the
+    order of a hash. What is still apart after that is verified pair by pair, so no link is lost whatever the rounds do.
+    """
+    postings = written(sets.select("sig", "n", F.size("shared").cast("long").alias("e"), F.posexplode("first").alias("at", "token"), *(F.col("bits")[i].alias(f"bits{i}") for i in range(_BITMAP))))
+    size, before = postings.count(), None
+    labels: DataFrame | None = None
     for turn in range(rounds):
-        now = labelled()
-        if _apart(now) <= size:
+        now = _labelled(postings, labels)
+        apart = _apart(now)
+        if apart <= size // 8 or before is not None and apart > 0.8 * before:
             break
-        key = F.xxhash64("label", F.lit(turn))
-        pivots = now.groupBy("token").agg(F.min(F.struct(key.alias("k"), F.xxhash64("sig", F.lit(turn)).alias("s"), F.col("sig").alias("b"), F.col("n").alias("m"), F.col("label").alias("l"))).alias("pivot"))
-        met = now.join(pivots, "token").filter((F.col("label") != F.col("pivot.l")) & _similar_size(F.col("n"), F.col("pivot.m"), percent))
-        counted = met.groupBy(F.col("sig").alias("a"), F.col("pivot.b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-        pairs = counted.withColumn("place", F.row_number().over(best)).filter("place <= 2").select("a", "b")
-        links = written(verified(pairs, sets, percent))
-        labels = joined(links)
-    rest = written(verified(_open_pairs(labelled(), percent), sets, percent))
-    labels = joined(rest)
+        if turn:
+            before = apart
+        pairs = _against_pivot(now, percent) if turn == 0 else _against_largest(now, percent, turn, 8)
+        labels = _merged(labels, written(verified(pairs, sets, percent)))
+    rest = written(verified(_open_pairs(_labelled(postings, labels), percent), sets, percent))
+    labels = _merged(labels, rest)
     return labels if labels is not None else sets.limit(0).select("sig", F.col("sig").alias("label"))
 
 
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return postings.withColumn("label", F.col("sig"))
+    return postings.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The labels after links are added: the components of the labels that they connect."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links).select(F.col("node").alias("sig"), "label")
+    known = labels.select(F.col("sig").alias("a"), F.col("label").alias("la"))
+    ends = links.join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b", "left")
+    edges = ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
+    top = components(edges).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = labels.join(top, "label", "left").select("sig", F.coalesce("top", "label").alias("label"))
+    new = top.select(F.col("label").alias("sig"), F.col("top").alias("label"))
+    return written(old.union(new).groupBy("sig").agg(F.min("label").alias("label")))
+
+
+def _against_pivot(now: DataFrame, percent: int) -> DataFrame:
+    """Each member with the pivot of its buckets, two pivots at most, those it meets most often."""
+    pivots = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig").alias("k"), F.col("sig").alias("b"), F.col("n").alias("m"), F.col("e").alias("f"))).alias("pivot"))
+    met = now.join(pivots, "token").filter((F.col("sig") != F.col("pivot.b")) & _may_link(F.col("n"), F.col("e"), F.col("pivot.m"), F.col("pivot.f"), percent))
+    counted = met.groupBy(F.col("sig").alias("a"), F.col("pivot.b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    return counted.withColumn("place", F.row_number().over(best)).filter("place <= 2").select("a", "b")
+
+
+def _against_largest(now: DataFrame, percent: int, turn: int, most: int) -> DataFrame:
+    """Each member outside its bucket's largest label with members of that label, one for each bucket, `most` of them at most."""
+    mixed = now.join(_by_label(now).select("token", F.col("most")), "token")
+    inside = mixed.filter("label = most").groupBy("token").agg(F.min(F.struct(F.xxhash64("sig", "token", F.lit(turn)).alias("k"), F.col("sig").alias("b"), F.col("n").alias("m"), F.col("e").alias("f"))).alias("pivot"))
+    met = mixed.filter("label != most").join(inside, "token").filter(_may_link(F.col("n"), F.col("e"), F.col("pivot.m"), F.col("pivot.f"), percent))
+    once = met.select(F.col("sig").alias("a"), F.col("pivot.b").alias("b")).distinct()
+    some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)), "b")
+    return once.withColumn("place", F.row_number().over(some)).filter(F.col("place") <= most).select("a", "b")
+
+
 def _by_label(now: DataFrame) -> DataFrame:
     """For each bucket with more than one label: its largest label."""
     counts = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -238,13 +269,20 @@ def _apart(now: DataFrame) -> int:
 
 
 def _open_pairs(now: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket's members with two labels: those outside its largest label with all others."""
-    mixed = now.join(_by_label(now).select("token", "most"), "token")
-    few = mixed.filter("label != most").select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    every = mixed.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), (F.col("label") == F.col("most")).alias("large"))
-    apart = (F.col("l_a") != F.col("l_b")) & _similar_size(F.col("n_a"), F.col("n_b"), percent) & (F.col("large") | (F.col("a") < F.col("b")))
-    condition = (few["token"] == every["token"]) & apart
-    return few.join(every, condition).select("a", "b").distinct()
+    """The pairs of a bucket's members with two labels: those outside its largest label with all others.
+
+    At the first shingle that a pair shares, what is left of either set from there on bounds what they share; a row
+    for a later one may be dropped by that test, the first one's is not if the pair has a link. A bit that one bitmap has
+    and the other has not stands for one member at least that they do not share.
+    """
+    mixed = now.join(_by_label(now).select("token", "most"), "token").withColumn("left", F.col("e") - F.col("at"))
+    bits = [f"bits{i}" for i in range(_BITMAP)]
+    few = mixed.filter("label != most").select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("e").alias("e_a"), F.col("left").alias("left_a"), F.col("label").alias("l_a"), *(F.col(x).alias(f"{x}_a") for x in bits))
+    every = mixed.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("e").alias("e_b"), F.col("left").alias("left_b"), F.col("label").alias("l_b"), *(F.col(x).alias(f"{x}_b") for x in bits), (F.col("label") == F.col("most")).alias("large"))
+    apart = (F.col("l_a") != F.col("l_b")) & _may_link(F.col("n_a"), F.col("left_a"), F.col("n_b"), F.col("left_b"), percent) & (F.col("large") | (F.col("a") < F.col("b")))
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{b}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{y}")))) for b in bits), F.lit(0))
+    apart &= _may_link(F.col("n_a"), F.col("e_a") - alone("a", "b"), F.col("n_b"), F.col("e_b") - alone("b", "a"), percent)
+    return few.join(every, (few["token"] == every["token"]) & apart).select("a", "b").distinct()
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, spare: float = 0.06, max_filter_log2: int = 26) -> DataFrame:

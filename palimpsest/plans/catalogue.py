@@ -1,15 +1,300 @@
-"""Every registered query of the engine's own operators, with its SQL."""
+"""Every registered query of the engine's own operators, with its SQL.
+
+The tables stand for a corpus: a row of documents is a chunk, its source the paper, its language the section; vectors
+belong to the chunk of the same number, vector 0 is the query's and benchmark item 0 the prompt.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text as tx
+from palimpsest.operators import corpus, dense, latex, lexical, pooling, vocab
+from palimpsest.plans import statements as sql
+from palimpsest.sources.papers import last_of_each
+
+CANDIDATES = 500
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("doc_id"), F.col("lang").alias("section"))
+
+
+def _prompt(spark: SparkSession, sf_dir: str) -> str:
+    return _table(spark, sf_dir, "benchmark").filter("item_id = 0").first()["text"]
+
+
+def _digest(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.select("doc_id", F.md5(text).alias("digest"), F.length(text).cast("long").alias("n_chars"))
+
+
+# --- text ---
+
+
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.word_count(F.col("text")).cast("long").alias("n_words"), F.size(tx.runs(F.col("text"))).cast("long").alias("n_runs"))
+
+
+def latinize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_table(spark, sf_dir, "documents"), tx.latinize(F.lower("text")))
+
+
+def dash_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_table(spark, sf_dir, "documents"), tx.dash_fold(F.col("text")))
+
+
+def punct_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_table(spark, sf_dir, "documents"), tx.punctuated(F.col("text")))
+
+
+def leftover_symbol_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _table(spark, sf_dir, "documents").select("doc_id", tx.leftover_symbols(F.col("text")).cast("long").alias("math_symbol_count"))
+    return counted.withColumn("kept", F.col("math_symbol_count") <= 5)
+
+
+# --- LaTeX ---
+
+
+def _as_latex(docs: DataFrame) -> Column:
+    """Documents in the guise of papers: definitions, headings, formulas and references around their text."""
+    head = r"\newcommand{\src}{" + "%s" + r"} \newcommand{\two}[2]{#1#2} \def\op#1\cl{x} \newenvironment{eqs}{\begin{equation}}{\end{equation}} "
+    body = r"\begin{document}\maketitle \section{Opening} " + "%s" + r" $x$ and $E = mc^2$ in 2021, see \cite{a,b}. \src\ \two{a}{b} \begin{eqs} a = b \end{eqs} \section{%s} \textbf{end} \op y \cl \section{References} z \end{document}"
+    safe = F.translate("text", "\\{}$%", "")
+    return F.format_string(head.replace("%s", "%1$s") + body.replace("%s", "%2$s", 1).replace("%s", "%3$s", 1), F.col("source"), safe, F.col("lang"))
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", _as_latex(docs).alias("latex"))
+
+
+def clean_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _papers(spark, sf_dir).select("doc_id", latex.clean("latex").alias("cleaned"))
+
+
+def number_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", latex.mask_numbers("text").alias("masked"))
+
+
+def placeholder_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("( @@math@@ ), @@eqn@@ and @@ref@@ - "), F.col("text"), F.lit(" @@num@@ ; @@url@@ @@cite@@"))
+    return _table(spark, sf_dir, "documents").select("doc_id", latex.merge_placeholders(text).alias("merged"))
+
+
+def macro_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _papers(spark, sf_dir).select("doc_id", latex.extract_macros("latex").alias("m"))
+    return found.select("doc_id", *(F.to_json(F.col("m")[k]).alias(k) for k in ("noarg", "arg", "env", "delim")))
+
+
+def macro_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = _papers(spark, sf_dir).withColumn("m", latex.extract_macros("latex"))
+    return papers.select("doc_id", latex.expand_macros("latex", "m").alias("expanded"))
+
+
+def macro_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.struct(*(F.create_map(F.lit("a"), F.col("source") if k != "arg" else F.lit(1)).alias(k) for k in ("noarg", "arg", "env", "delim")))
+    style = F.struct(*(F.create_map(F.lit("a"), F.lit("x") if k != "arg" else F.lit(2), F.lit("b"), F.col("lang") if k != "arg" else F.lit(3)).alias(k) for k in ("noarg", "arg", "env", "delim")))
+    merged = _table(spark, sf_dir, "documents").select("doc_id", latex.merge_macros(own, style).alias("m"))
+    return merged.select("doc_id", F.col("m.noarg")["a"].alias("a"), F.col("m.noarg")["b"].alias("b"), F.col("m.arg")["a"].cast("long").alias("a_args"), F.col("m.arg")["b"].cast("long").alias("b_args"))
+
+
+def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = _papers(spark, sf_dir)
+    archives = papers.select("doc_id", F.create_map(F.lit("main.tex"), F.col("latex")).alias("files"))
+    processed, _ = latex.processed_papers(archives, papers.select("doc_id", F.col("source").alias("title")))
+    return processed.select("doc_id", "title", F.posexplode("sections").alias("section_index", "s")).select("doc_id", "title", "section_index", F.col("s.title").alias("section"), F.col("s.text").alias("text"))
+
+
+# --- corpus ---
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a document as a section."""
+    docs = _table(spark, sf_dir, "documents")
+    sections = F.transform(F.split("text", "\n"), lambda t: F.struct(F.lit("").alias("title"), t.alias("text")))
+    return docs.select("doc_id", F.col("source").alias("title"), sections.alias("sections"))
+
+
+def sections_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select("doc_id", F.posexplode("sections").alias("section_index", "s"))
+    return rows.select("doc_id", F.col("section_index").cast("long").alias("section_index"), F.md5("s.text").alias("digest"))
+
+
+def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    pieces = corpus.chunked(docs, ["doc_id"], "text", 600, 60)
+    return pieces.select("doc_id", F.col("local_index").cast("long").alias("local_index"), F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
+def chunk_filter_min_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.quality_filtered(_table(spark, sf_dir, "documents"), 32, None).select("doc_id")
+
+
+def chunk_filter_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.concat(F.lit("code "), F.substring_index("text", " ", 9), F.when(F.col("doc_id") % 3 == 0, " (MATH), fig.").otherwise(""))
+    return corpus.quality_filtered(_table(spark, sf_dir, "documents").withColumn("text", words), None, 0.15).select("doc_id")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skipped = _table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    return corpus.build_corpus(_lines(spark, sf_dir), skipped, size=0, overlap=0, min_tokens=16)
+
+
+def chunk_ids_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).select("chunk_id", F.col("position").cast("long").alias("position"))
+
+
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).select("chunk_id", "doc_id", "title", F.md5("text").alias("digest"), F.col("position").cast("long").alias("position"))
+
+
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpus.corpus_report(docs, corpus.quality_filtered(docs))
+
+
+def seq_length_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.sequence_length(_table(spark, sf_dir, "documents"))
+
+
+# --- vocabulary and samples ---
+
+
+def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.build_vocab(_table(spark, sf_dir, "documents"), 5)
+
+
+def vocab_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.build_vocab(_table(spark, sf_dir, "documents"), 5, 500)
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words = vocab_build(spark, sf_dir)
+    return vocab.encode(_chunks(spark, sf_dir), words), words
+
+
+def vocab_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, _ = _encoded(spark, sf_dir)
+    return ids.select("chunk_id", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")).alias("digest"))
+
+
+def vocab_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.decode(*_encoded(spark, sf_dir)).select("chunk_id", F.md5("text").alias("digest"))
+
+
+def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, _ = _encoded(spark, sf_dir)
+    inputs, mask = vocab.padded(F.col("ids"), 160)
+    text = lambda a: F.array_join(F.transform(a, lambda i: i.cast("string")), " ")
+    return ids.select("chunk_id", F.md5(text(inputs)).alias("inputs"), F.md5(text(mask)).alias("mask"))
+
+
+def unk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.usable(_encoded(spark, sf_dir)[0], 0.4, 0.5, 160).select("chunk_id")
+
+
+def train_valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.train_valid(_chunks(spark, sf_dir)).select("chunk_id", "part")
+
+
+def mean_pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = vocab.mean_pooled(_table(spark, sf_dir, "embeddings"), "label")
+    return pooled.select(F.col("label").cast("long").alias("label"), F.posexplode("pooled").alias("at", "x")).select("label", F.col("at").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
+def infonce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    first = vectors.filter("vec_id < 64").select(F.col("vec_id").alias("item"), F.col("embedding").alias("z"))
+    second = vectors.filter("vec_id >= 64 and vec_id < 128").select((F.col("vec_id") - 64).alias("item"), F.col("embedding").alias("z"))
+    return vocab.info_nce(first, second).select(F.round("loss", 6).alias("loss"))
+
+
+# --- sources ---
+
+
+def metadata_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_of_each(_table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+def skip_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skipped = _table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    return _table(spark, sf_dir, "documents").join(skipped, "doc_id", "left_anti").select("doc_id", "source")
+
+
+# --- retrieval ---
+
+
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    counts = lexical.term_counts(chunks)
+    return lexical.weights(counts, lexical.inverse_frequencies(counts, chunks.count())).select("chunk_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_lexical(_chunks(spark, sf_dir).select("chunk_id", "text"), _prompt(spark, sf_dir), CANDIDATES)
+
+
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexical(spark, sf_dir).select("chunk_id", F.round("lex_score", 6).alias("score"), F.col("lex_rank").cast("long").alias("rank"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    query = vectors.filter("chunk_id = 0").first()["embedding"]
+    return dense.dense_scores(_lexical(spark, sf_dir), vectors, query)
+
+
+def _matches(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    return dense.rerank(_scored(spark, sf_dir), method)
+
+
+def _ranked(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _matches(spark, sf_dir, method).select("chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _pooled(spark: SparkSession, sf_dir: str, level: str, chunks: int, sections: int) -> DataFrame:
+    return pooling.papers(_matches(spark, sf_dir, "rrf"), _chunks(spark, sf_dir), level, chunks, sections)
+
+
+def _pool(level: str, chunks: int, sections: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        listed = F.array_join(F.transform("sections", lambda s: F.concat_ws(":", s["section"], s["n_chunks"].cast("string"))), ",")
+        return _pooled(spark, sf_dir, level, chunks, sections).select("doc_id", F.round("score", 6).alias("score"), "n_chunks", listed.alias("sections"), F.col("rank").cast("long").alias("rank"))
+
+    return run
+
+
+def matches_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc_id")).agg(F.min("doc_id").cast("string").alias("title"))
+    lines = pooling.report(_pooled(spark, sf_dir, "section", 1, 1), meta, 10, 2)
+    return lines.select(F.col("rank").cast("long").alias("rank"), "doc_id", "title", F.round("score", 6).alias("score"), "n_chunks", "section_list")
+
+
+def find_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pooling.find(_pooled(spark, sf_dir, "section", 1, 1), ["src0", "src3", "absent"])
+    return found.select("doc_id", "present", F.coalesce(F.col("best_rank").cast("long"), F.lit(-1)).alias("best_rank"), F.coalesce(F.round("best_score", 6), F.lit(-1.0)).alias("best_score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    plain = (
+        tokenize_counts, latinize_text, dash_fold, punct_normalize, leftover_symbol_gate, clean_latex, number_masking, placeholder_ladder, macro_extract, macro_expand, macro_merge, paper_sections,
+        sections_split, chunk_split, chunk_filter_min_tokens, chunk_filter_placeholder, chunk_ids_positions, corpus_build, corpus_report, seq_length_estimate,
+        vocab_build, vocab_capped, vocab_encode, vocab_decode, pad_truncate, unk_filter, train_valid_split, mean_pool_l2, infonce_loss,
+        metadata_last_wins, skip_anti_join, tfidf_weights, lexical_topk, matches_report, find_papers,
+    )
+    found = {f.__name__: f for f in plain}
+    found["dense_scores"] = _ranked("dense")
+    found |= {f"rerank_{name}": _ranked(method) for name, method in (("tfidf", "tfidf"), ("pin_top", "pin_top"), ("fusion", "score_fusion"), ("rrf", "rrf"))}
+    found |= {"pool_section": _pool("section", 1, 1), "pool_paper": _pool("paper", 1, 1), "pool_topk": _pool("section", 3, 2), "hybrid_search": _pool("section", 2, 2)}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.statements(CANDIDATES)

@@ -105,6 +105,16 @@ def probed(df: DataFrame, h: str, words: DataFrame, log2: int, flag: str) -> Dat
 
 # --- Arrow ---
 
+#: Rows of an Arrow batch at most: a batch is copied several times between the JVM and its Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows; plans made from now on have it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 def arrow_map(df: DataFrame, f: Callable[[list], Iterator[tuple]], fields: list[tuple[str, T.DataType]], keep: int = 1, at_once: int = 1 << 23) -> DataFrame:
     """For every row of df, the first `keep` columns and then the fields that f makes.
@@ -123,6 +133,7 @@ def arrow_map(df: DataFrame, f: Callable[[list], Iterator[tuple]], fields: list[
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], *arrays], names=[*part.schema.names[:keep], *names])
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import LOWER, arrow_map, bloom, col, filter_log2, probed, written
+from palimpsest.llm.common import LOWER, arrow_map, bloom, col, filter_log2, probed, small_batches, written
 
 #: Odd multipliers, one for each place in a shingle and each order.
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
-_MEMO = 1 << 18
+_MEMO = 1 << 17
 #: Longs of a set's bitmap: a member sets one of its bits.
 _BITMAP = 8
 
@@ -154,6 +154,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(ok)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    small_batches(both.sparkSession)
     return both.mapInArrow(run, "a binary, b binary")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import SPACES, col, split_batch, without, written
+from palimpsest.llm.common import SPACES, col, small_batches, split_batch, without, written
 from palimpsest.llm.perplexity import fitted
 
 METRICS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("log_perplexity", T.DoubleType())]
@@ -58,6 +58,7 @@ def _repeated(words: list[bytes]) -> int:
 
 def scored(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
     """docs' columns (or those of carry) and those of METRICS; the model is that of all of docs' texts, sent to the executors once."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, text_col))
     columns = list(carry) if carry else without(docs, *OUT)
     rows = docs.select(*(col(c) for c in columns), col(text_col).cast("string").alias("__text"))

@@ -110,12 +110,13 @@ def _fences(bins: DataFrame, width: float, *keys: str) -> DataFrame:
     return listed.filter("total > 0").select(*keys, "total", (q1 - width * spread).alias("lower"), (q3 + width * spread).alias("upper"))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_rows: int = 200, width: float = 3.0, carry: tuple[str, ...] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_rows: int = 200, width: float = 3.0, carry: tuple[str, ...] | None = None, broadcast_languages: int = 20_000) -> DataFrame:
     """Every row of docs with the columns of OUT; carry names the columns of docs to keep, lang_col among them (all by default).
 
     base_failed: fewer than 50 words, or more than half of the words repeat. kept: not base_failed, and the log
     perplexity is within the bands of the row's language. The scored rows are written to the shared folder once;
-    the bands are counted from them.
+    the bands are counted from them. The bands, a row for each language, are broadcast where there are at most
+    broadcast_languages of them (their number is checked), else joined by a shuffle that AQE may split.
 
     Null text: no words, base_failed, log_perplexity null. Null lang: a language of its own. A language all of whose
     rows fail has no bands. Input columns called like an output are replaced. Empty table: no rows.
@@ -123,6 +124,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     metrics = written(scored(docs, text_col, carry)).withColumn("base_failed", failed)
     limits = bands(metrics, lang_col, least_rows, width)
+    if limits.limit(broadcast_languages + 1).count() <= broadcast_languages:
+        limits = F.broadcast(limits)
     joined = metrics.join(limits, col(lang_col).eqNullSafe(F.col("__lang")), "left").drop("__lang")
     inside = F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band"))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))

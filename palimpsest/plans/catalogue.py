@@ -168,15 +168,15 @@ def seq_length_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.build_vocab(_table(spark, sf_dir, "documents"), 5)
+    return vocab.build_vocab(_table(spark, sf_dir, "documents"), 5).fillna(0, ["freq"])
 
 
 def vocab_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.build_vocab(_table(spark, sf_dir, "documents"), 5, 500)
+    return vocab.build_vocab(_table(spark, sf_dir, "documents"), 5, 500).fillna(0, ["freq"])
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = vocab_build(spark, sf_dir)
+    words = vocab.build_vocab(_table(spark, sf_dir, "documents"), 5)
     return vocab.encode(_chunks(spark, sf_dir), words), words
 
 

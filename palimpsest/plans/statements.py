@@ -156,8 +156,8 @@ SELECT total AS total_chunks, kept AS kept_chunks, round(100.0::DOUBLE * kept /
         "seq_length_estimate": r"""
 WITH l AS (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM documents), o AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS place, count(*) OVER () AS total FROM l WHERE n > 0)
 SELECT (ceil(n / 32.0) * 32)::BIGINT AS sequence_length FROM o WHERE place = floor(0.95::DOUBLE * (total - 1))""",
-        "vocab_build": f"WITH {_VOCAB} SELECT id, token, freq FROM vocab",
-        "vocab_capped": f"WITH {_VOCAB} SELECT id, token, freq FROM vocab WHERE id < 500",
+        "vocab_build": f"WITH {_VOCAB} SELECT id, token, coalesce(freq, 0) AS freq FROM vocab",
+        "vocab_capped": f"WITH {_VOCAB} SELECT id, token, coalesce(freq, 0) AS freq FROM vocab WHERE id < 500",
         "vocab_encode": f"WITH {_ENCODED} SELECT chunk_id, len(ids)::BIGINT AS n_ids, md5({ids.format('ids')}) AS digest FROM encoded",
         "vocab_decode": f"WITH {_ENCODED}, texts AS (SELECT chunk_id, string_agg(token, ' ' ORDER BY place) AS t FROM known JOIN own USING (id) GROUP BY chunk_id) SELECT encoded.chunk_id, md5(coalesce(t, '')) AS digest FROM encoded LEFT JOIN texts USING (chunk_id)",
         "pad_truncate": f"WITH {_ENCODED} SELECT chunk_id, md5({ids.format(f'list_concat({window}, list_transform(range({missing}), lambda x: 0::BIGINT))')}) AS inputs, md5({ids.format(f'list_concat(list_transform({window}, lambda x: 1), list_transform(range({missing}), lambda x: 0))')}) AS mask FROM encoded",

@@ -201,20 +201,18 @@ def linked(sets: DataFrame, percent: int, rounds: int = 6) -> DataFrame:
     members outside their bucket's largest label are held against members of that label, a few for each round, in the
     order of a hash. What is still apart after that is verified pair by pair, so no link is lost whatever the rounds do.
     """
-    postings = written(sets.select("sig", "n", F.size("shared").cast("long").alias("e"), F.posexplode("first").alias("at", "token"), *(F.col("bits")[i].alias(f"bits{i}") for i in range(_BITMAP))))
+    postings = written(sets.select("sig", "n", F.size("shared").cast("long").alias("e"), F.posexplode("first").alias("at", "token")))
     size, before = postings.count(), None
-    labels: DataFrame | None = None
+    labels = _merged(None, written(verified(_against_pivot(postings, percent), sets, percent)))
+    mixed = written(_mixed(_labelled(postings, labels)))
     for turn in range(rounds):
-        now = _labelled(postings, labels)
-        apart = _apart(now)
+        apart = mixed.agg(F.sum(F.col("all") - F.col("largest"))).first()[0] or 0
         if apart <= size // 8 or before is not None and apart > 0.8 * before:
             break
-        if turn:
-            before = apart
-        pairs = _against_pivot(now, percent) if turn == 0 else _against_largest(now, percent, turn, 8)
-        labels = _merged(labels, written(verified(pairs, sets, percent)))
-    rest = written(verified(_open_pairs(_labelled(postings, labels), percent), sets, percent))
-    labels = _merged(labels, rest)
+        before = apart
+        labels = _merged(labels, written(verified(_against_largest(mixed, percent, turn, 8), sets, percent)))
+        mixed = written(_mixed(_labelled(mixed.select(postings.columns), labels)))
+    labels = _merged(labels, written(verified(_open_pairs(mixed, sets, percent), sets, percent)))
     return labels if labels is not None else sets.limit(0).select("sig", F.col("sig").alias("label"))
 
 
@@ -248,9 +246,8 @@ def _against_pivot(now: DataFrame, percent: int) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(best)).filter("place <= 2").select("a", "b")
 
 
-def _against_largest(now: DataFrame, percent: int, turn: int, most: int) -> DataFrame:
+def _against_largest(mixed: DataFrame, percent: int, turn: int, most: int) -> DataFrame:
     """Each member outside its bucket's largest label with members of that label, one for each bucket, `most` of them at most."""
-    mixed = now.join(_by_label(now).select("token", F.col("most")), "token")
     inside = mixed.filter("label = most").groupBy("token").agg(F.min(F.struct(F.xxhash64("sig", "token", F.lit(turn)).alias("k"), F.col("sig").alias("b"), F.col("n").alias("m"), F.col("e").alias("f"))).alias("pivot"))
     met = mixed.filter("label != most").join(inside, "token").filter(_may_link(F.col("n"), F.col("e"), F.col("pivot.m"), F.col("pivot.f"), percent))
     once = met.select(F.col("sig").alias("a"), F.col("pivot.b").alias("b")).distinct()
@@ -258,30 +255,31 @@ def _against_largest(now: DataFrame, percent: int, turn: int, most: int) -> Data
     return once.withColumn("place", F.row_number().over(some)).filter(F.col("place") <= most).select("a", "b")
 
 
-def _by_label(now: DataFrame) -> DataFrame:
-    """For each bucket with more than one label: its largest label."""
-    counts = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    return counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("largest"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-
+def _mixed(now: DataFrame) -> DataFrame:
+    """The members of buckets with more than one label, with the bucket's largest label and how many members it and all labels have.
 
-def _apart(now: DataFrame) -> int:
-    """About how many pairs of a bucket's members have two labels."""
-    return _by_label(now).agg(F.sum((F.col("all") - F.col("largest")) * F.col("all"))).first()[0] or 0
+    Labels only ever merge, so later rounds need no other buckets.
+    """
+    counts = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    buckets = counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("largest"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    return now.join(buckets.drop("labels"), "token")
 
 
-def _open_pairs(now: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of a bucket's members with two labels: those outside its largest label with all others.
 
     At the first shingle that a pair shares, what is left of either set from there on bounds what they share; a row
     for a later one may be dropped by that test, the first one's is not if the pair has a link. A bit that one bitmap has
     and the other has not stands for one member at least that they do not share.
     """
-    mixed = now.join(_by_label(now).select("token", "most"), "token").withColumn("left", F.col("e") - F.col("at"))
     bits = [f"bits{i}" for i in range(_BITMAP)]
-    few = mixed.filter("label != most").select("token", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("e").alias("e_a"), F.col("left").alias("left_a"), F.col("label").alias("l_a"), *(F.col(x).alias(f"{x}_a") for x in bits))
-    every = mixed.select("token", F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("e").alias("e_b"), F.col("left").alias("left_b"), F.col("label").alias("l_b"), *(F.col(x).alias(f"{x}_b") for x in bits), (F.col("label") == F.col("most")).alias("large"))
-    apart = (F.col("l_a") != F.col("l_b")) & _may_link(F.col("n_a"), F.col("left_a"), F.col("n_b"), F.col("left_b"), percent) & (F.col("large") | (F.col("a") < F.col("b")))
+    rows = mixed.join(sets.select("sig", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "sig").withColumn("left", F.col("e") - F.col("at"))
+    side = lambda x: [F.col("sig").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "e", "left", "label", *bits))]
+    few = rows.filter("label != most").select("token", *side("a"))
+    every = rows.select("token", *side("b"), (F.col("label") == F.col("most")).alias("large"))
     alone = lambda x, y: sum((F.bit_count(F.col(f"{b}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{y}")))) for b in bits), F.lit(0))
+    apart = (F.col("label_a") != F.col("label_b")) & (F.col("large") | (F.col("a") < F.col("b")))
+    apart &= _may_link(F.col("n_a"), F.col("left_a"), F.col("n_b"), F.col("left_b"), percent)
     apart &= _may_link(F.col("n_a"), F.col("e_a") - alone("a", "b"), F.col("n_b"), F.col("e_b") - alone("b", "a"), percent)
     return few.join(every, (few["token"] == every["token"]) & apart).select("a", "b").distinct()
 

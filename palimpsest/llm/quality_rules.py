@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,11 +57,9 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def scored(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
-    """docs' columns (or those of carry) and those of METRICS; the model is that of all of docs' texts, sent to the executors once."""
+def scored(docs: DataFrame, model: Broadcast, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns of docs that are named and those of METRICS."""
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, text_col))
-    columns = list(carry) if carry else without(docs, *OUT)
     rows = docs.select(*(col(c) for c in columns), col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, t) for n, t in METRICS)])
     names = schema.names
@@ -114,16 +113,18 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """Every row of docs with the columns of OUT; carry names the columns of docs to keep, lang_col among them (all by default).
 
     base_failed: fewer than 50 words, or more than half of the words repeat. kept: not base_failed, and the log
-    perplexity is within the bands of the row's language. The scored rows are written to the shared folder once;
-    the bands are counted from them. The bands, a row for each language, are broadcast where there are at most
+    perplexity is within the bands of the row's language. What the bands are counted from is written to the shared
+    folder without the texts; unless carry does without them, the texts are scored once more as they pass. The bands, a row for each language, are broadcast where there are at most
     broadcast_languages of them (their number is checked), else joined by a shuffle that AQE may split.
 
     Null text: no words, base_failed, log_perplexity null. Null lang: a language of its own. A language all of whose
     rows fail has no bands. Input columns called like an output are replaced. Empty table: no rows.
     """
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, text_col))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    metrics = written(scored(docs, text_col, carry)).withColumn("base_failed", failed)
-    limits = bands(metrics, lang_col, least_rows, width)
+    narrow = written(scored(docs, model, list(carry) if carry else [lang_col], text_col).withColumn("base_failed", failed))
+    metrics = narrow if carry else scored(docs, model, without(docs, *OUT), text_col).withColumn("base_failed", failed)
+    limits = bands(narrow, lang_col, least_rows, width)
     if limits.limit(broadcast_languages + 1).count() <= broadcast_languages:
         limits = F.broadcast(limits)
     joined = metrics.join(limits, col(lang_col).eqNullSafe(F.col("__lang")), "left").drop("__lang")

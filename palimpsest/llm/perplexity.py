@@ -62,7 +62,8 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in split_batch(batch, 0, 1 << 20):
                 codes, _ = codes_of([t or "" for t in part.column(0).to_pylist()])
-                total += np.bincount(codes, minlength=len(total))
+                seen, n = np.unique(codes, return_counts=True)
+                total[seen] += n
         seen = np.flatnonzero(total)
         for at in range(0, len(seen), 1 << 16):
             some = seen[at : at + (1 << 16)]
@@ -136,7 +137,7 @@ class KneserNey:
         codes, starts = codes_of(texts)
         if not len(codes):
             return np.full(len(texts), np.nan)
-        distinct = np.flatnonzero(np.bincount(codes, minlength=BASE**ORDER))
+        distinct = np.unique(codes).astype(np.int64)
         table = np.zeros(BASE**ORDER, np.float32)
         table[distinct] = self.log_p(distinct)
         sums = np.concatenate([[0.0], np.cumsum(table[codes], dtype=np.float64)])

@@ -41,9 +41,11 @@ def encode(chunks: DataFrame, vocab: DataFrame, id_col: str = "chunk_id", text_c
     return whole.select(F.col("__key").alias(id_col), F.coalesce(F.transform("s", lambda x: x["i"]), F.array().cast("array<bigint>")).alias("ids"))
 
 
-def decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "chunk_id", skip_special: bool = True) -> DataFrame:
-    """id, text: the tokens of ids, joined by spaces; an id beyond the vocabulary is <unk>."""
-    placed = encoded.select(F.col(id_col).alias("__key"), F.posexplode("ids").alias("at", "id")).join(F.broadcast(vocab.select("id", "token")), "id", "left")
+def decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "chunk_id", skip_special: bool = True, vocab_limit: int = 200_000) -> DataFrame:
+    """id, text: the tokens of ids, joined by spaces; an id beyond the vocabulary is <unk>. vocab_limit as for encode."""
+    table = vocab.select("id", "token")
+    small = vocab.limit(vocab_limit + 1).count() <= vocab_limit
+    placed = encoded.select(F.col(id_col).alias("__key"), F.posexplode("ids").alias("at", "id")).join(F.broadcast(table) if small else table, "id", "left")
     known = placed.withColumn("token", F.coalesce("token", F.lit(SPECIAL[UNK])))
     if skip_special:
         known = known.filter(~F.col("token").isin(*SPECIAL))
@@ -97,13 +99,17 @@ def mean_pooled(vectors: DataFrame, group: str, vector: str = "embedding") -> Da
 
 
 def info_nce(first: DataFrame, second: DataFrame, tau: float = 0.05) -> DataFrame:
-    """loss: the symmetric cross-entropy of two views (item, z) of one batch; a batch is small, so its similarity matrix is."""
-    left, right = first.select(F.col("item").alias("i"), F.col("z").alias("zi")), second.select(F.col("item").alias("j"), F.col("z").alias("zj"))
-    logits = left.join(F.broadcast(right)).select("i", "j", (dot(F.col("zi"), F.col("zj")) / tau).alias("s"))
+    """batch, loss: the symmetric cross-entropy of two views (batch, item, z) of each batch.
+
+    Vectors meet those of their own batch alone, by an equal join; an item that one view lacks is left out.
+    """
+    both = first.select("batch", "item", F.col("z").alias("zi")).join(second.select("batch", "item", F.col("z").alias("zj")), ["batch", "item"])
+    left, right = both.select("batch", F.col("item").alias("i"), "zi"), both.select("batch", F.col("item").alias("j"), "zj")
+    logits = left.join(right, "batch").select("batch", "i", "j", (dot(F.col("zi"), F.col("zj")) / tau).alias("s"))
 
     def side(key: str) -> DataFrame:
-        top = F.max("s").over(Window.partitionBy(key))
-        rows = logits.withColumn("top", top).groupBy(key).agg((F.max("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top"))))).alias("whole"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("own"))
-        return rows.agg(F.avg(F.col("whole") - F.col("own")).alias("loss"))
+        top = F.max("s").over(Window.partitionBy("batch", key))
+        rows = logits.withColumn("top", top).groupBy("batch", key).agg((F.max("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top"))))).alias("whole"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("own"))
+        return rows.select("batch", (F.col("whole") - F.col("own")).alias("loss"))
 
-    return side("i").unionByName(side("j")).agg(F.avg("loss").alias("loss"))
+    return side("i").unionByName(side("j")).groupBy("batch").agg(F.avg("loss").alias("loss"))

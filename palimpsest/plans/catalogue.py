@@ -138,8 +138,8 @@ def chunk_filter_min_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_filter_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.concat(F.lit("code "), F.substring_index("text", " ", 9), F.when(F.col("doc_id") % 3 == 0, " (MATH), fig.").otherwise(""))
-    return corpus.quality_filtered(_table(spark, sf_dir, "documents").withColumn("text", words), None, 0.15).select("doc_id")
+    marked = F.regexp_replace("text", "([.,]) ", "$1 (MATH), code ")
+    return corpus.quality_filtered(_table(spark, sf_dir, "documents").withColumn("text", marked), None, 0.15).select("doc_id")
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,10 +210,9 @@ def mean_pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def infonce_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    first = vectors.filter("vec_id < 64").select(F.col("vec_id").alias("item"), F.col("embedding").alias("z"))
-    second = vectors.filter("vec_id >= 64 and vec_id < 128").select((F.col("vec_id") - 64).alias("item"), F.col("embedding").alias("z"))
-    return vocab.info_nce(first, second).select(F.round("loss", 6).alias("loss"))
+    """All vectors: 128 in turn are a batch, whose first and second half are the two views of 64 items."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 128").alias("batch"), (F.col("vec_id") % 64).alias("item"), F.expr("vec_id % 128 div 64").alias("view"), F.col("embedding").alias("z"))
+    return vocab.info_nce(vectors.filter("view = 0"), vectors.filter("view = 1")).select("batch", F.round("loss", 6).alias("loss"))
 
 
 # --- sources ---

@@ -144,7 +144,7 @@ def statements(candidates: int) -> dict[str, str]:
         "chunk_split": _CHUNKS,
         "chunk_filter_min_tokens": f"SELECT doc_id FROM documents WHERE len({_WORDS}) >= 32",
         "chunk_filter_placeholder": r"""
-WITH heads AS (SELECT doc_id, 'code ' || array_to_string(string_split(text, ' ')[1:9], ' ') || CASE WHEN doc_id % 3 = 0 THEN ' (MATH), fig.' ELSE '' END AS text FROM documents),
+WITH heads AS (SELECT doc_id, regexp_replace(text, '([.,]) ', '\1 (MATH), code ', 'g') AS text FROM documents),
 bare AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\S+'), lambda t: upper(trim(t, '.,;:!?()[]{}<>"''`'))), lambda t: t <> '') AS b FROM heads)
 SELECT doc_id FROM bare WHERE len(b) = 0 OR len(list_filter(b, lambda t: t IN ('MATH', 'NUM', 'EQN', 'CITE', 'REF', 'FIG', 'URL', 'CODE', 'ALG', 'ENV'))) / len(b) <= 0.15""",
         "chunk_ids_positions": f"WITH {_CORPUS} SELECT chunk_id, position FROM chunks",
@@ -166,9 +166,13 @@ SELECT (ceil(n / 32.0) * 32)::BIGINT AS sequence_length FROM o WHERE place = flo
 WITH p AS (SELECT label::BIGINT AS label, (generate_subscripts(embedding, 1) - 1)::BIGINT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
 m AS (SELECT label, dim, avg(x) AS m FROM p GROUP BY label, dim) SELECT label, dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS x FROM m""",
         "infonce_loss": """
-WITH s AS (SELECT a.vec_id AS i, b.vec_id - 64 AS j, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / 0.05::DOUBLE AS s FROM embeddings a, embeddings b WHERE a.vec_id < 64 AND b.vec_id >= 64 AND b.vec_id < 128),
-r AS (SELECT ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY i), c AS (SELECT ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY j)
-SELECT round(((SELECT avg(l) FROM r) + (SELECT avg(l) FROM c)) / 2, 6) AS loss""",
+WITH v AS (SELECT vec_id // 128 AS batch, vec_id % 64 AS item, vec_id % 128 // 64 AS half, embedding::DOUBLE[] AS z FROM embeddings),
+p AS (SELECT a.batch, a.item, a.z AS zi, b.z AS zj FROM v a JOIN v b ON a.batch = b.batch AND a.item = b.item WHERE a.half = 0 AND b.half = 1),
+t AS (SELECT a.batch, a.item AS i, b.item AS j, list_inner_product(a.zi, b.zj) / 0.05::DOUBLE AS x FROM p a JOIN p b ON a.batch = b.batch),
+r AS (
+  SELECT batch, ln(sum(exp(x))) - max(CASE WHEN i = j THEN x END) AS l FROM t GROUP BY batch, i
+  UNION ALL SELECT batch, ln(sum(exp(x))) - max(CASE WHEN i = j THEN x END) AS l FROM t GROUP BY batch, j)
+SELECT batch, round(avg(l), 6) AS loss FROM r GROUP BY batch""",
         "metadata_last_wins": "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
         "skip_anti_join": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
         "tfidf_weights": f"WITH {_TFIDF} SELECT chunk_id, term, round(raw / norm, 6) AS weight FROM raw JOIN norm USING (chunk_id)",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import PLACEHOLDERS, searchable, words
 
+#: Folders of an index: a prompt's terms name those that are read.
+BUCKETS = 256
 DIGITS = 9  # scores are ranked after rounding, so that equal texts tie whatever the order of summation
 
 
@@ -65,3 +67,54 @@ def top_lexical(chunks: DataFrame, prompt: str, candidates: int = 1000, id_col:
     best = scored.orderBy(F.desc("rounded"), "chunk_id").limit(max(0, candidates))
     rank = F.row_number().over(Window.orderBy(F.desc("rounded"), "chunk_id"))  # over `candidates` rows at most
     return best.select("chunk_id", F.col("score").alias("lex_score"), rank.alias("lex_rank"))
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", drop_placeholders: bool = False) -> None:
+    """Writes the tables that search_index reads: chunks (chunk_id), terms (term, idf) and postings (term, chunk_id, weight).
+
+    Terms and postings lie in folders by a hash of the term, and in each in the order of term and chunk, so a prompt
+    reads its terms' folders and row groups alone. Postings are dealt by ranges of that order: a term of most chunks is
+    split over several tasks. An existing index is an error.
+    """
+    ids = chunks.select(F.col(id_col).alias("chunk_id"))
+    ids.write.parquet(f"{path}/chunks")
+    spark = chunks.sparkSession
+    term_counts(chunks, id_col, text_col, drop_placeholders).write.parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts")
+    idf = inverse_frequencies(counts, spark.read.parquet(f"{path}/chunks").count())
+    idf.select("term", "idf", _bucket(F.col("term")).alias("bucket")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    known = spark.read.parquet(f"{path}/terms").select("term", "idf")
+    placed = weights(counts, known).withColumn("bucket", _bucket(F.col("term")))
+    order = ("bucket", "term", "chunk_id")
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def search_index(spark: SparkSession, path: str, prompt: str, candidates: int = 1000, drop_placeholders: bool = False) -> DataFrame:
+    """What top_lexical gives, from an index: chunk_id, lex_score, lex_rank. Only the prompt's postings are read and shuffled.
+
+    The prompt's own terms, no more than its words, come to the driver to prune folders and row groups.
+    """
+    asked = {r.term: r.qtf for r in prompt_terms(spark, prompt, drop_placeholders).collect()}
+    ids = spark.read.parquet(f"{path}/chunks")
+    if not asked:
+        hits = ids.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    else:
+        buckets = [r[0] for r in spark.createDataFrame([(t,) for t in asked], "term string").select(_bucket(F.col("term"))).distinct().collect()]
+        mine = F.col("bucket").isin(*buckets) & F.col("term").isin(*asked)
+        counts = spark.createDataFrame(list(asked.items()), "term string, qtf long")
+        query = spark.read.parquet(f"{path}/terms").filter(mine).join(F.broadcast(counts), "term").select("term", (F.col("qtf") * F.col("idf")).alias("q"))
+        length = query.agg(F.sqrt(F.sum(F.col("q") * F.col("q")))).first()[0] or 1.0
+        met = spark.read.parquet(f"{path}/postings").filter(mine).join(F.broadcast(query), "term")
+        hits = met.groupBy("chunk_id").agg((F.sum(F.col("weight") * F.col("q")) / F.lit(length)).alias("score"))
+    rounded = F.round("score", DIGITS)
+    most = max(0, candidates)
+    best = hits.orderBy(F.desc(rounded), "chunk_id").limit(most)
+    # Chunks without a common term score 0 and follow by id; those that score 0 after rounding are among them.
+    rest = ids.join(best.select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id").limit(most).select("chunk_id", F.lit(0.0).alias("score"))
+    chosen = best.unionByName(rest).orderBy(F.desc(rounded), "chunk_id").limit(most)
+    rank = F.row_number().over(Window.orderBy(F.desc(rounded), "chunk_id"))  # over `candidates` rows at most
+    return chosen.select("chunk_id", F.col("score").alias("lex_score"), rank.alias("lex_rank"))

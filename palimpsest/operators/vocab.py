@@ -2,40 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.functions.text import stripped, words
+from palimpsest.functions.text import searchable, stripped, words
 from palimpsest.operators.dense import dot, unit
+from palimpsest.sources.shared import materialized
 
 PAD, UNK = 0, 1
 SPECIAL = ("<pad>", "<unk>")
+MATH_SIGNS = "_^$"
 
 
 def build_vocab(chunks: DataFrame, min_freq: int = 5, max_vocab: int | None = None, text_col: str = "text") -> DataFrame:
     """id, token, freq: the special tokens, then tokens of min_freq or more, most frequent first, ties by code point.
 
-    max_vocab counts the special tokens. Tokens are counted before they are shuffled; only those kept are ordered.
+    max_vocab counts the special tokens. Tokens are counted before they are shuffled; only those kept are ordered, by
+    ranges, and no task holds them all. The table is written to the shared folder, so it is computed once.
     """
     counts = chunks.select(F.explode(words(stripped(F.col(text_col)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= min_freq)
     if max_vocab is not None:
         counts = counts.orderBy(F.desc("freq"), "token").limit(max(0, max_vocab - len(SPECIAL)))
-    rank = F.row_number().over(Window.orderBy(F.desc("freq"), "token"))
-    own = counts.select((rank + len(SPECIAL) - 1).cast("long").alias("id"), "token", "freq")
+    own = _numbered(counts, F.desc("freq"), F.col("token")).select((F.col("place") + len(SPECIAL)).alias("id"), "token", "freq")
     special = chunks.sparkSession.createDataFrame([(i, t, None) for i, t in enumerate(SPECIAL)], "id long, token string, freq long")
     return special.unionByName(own)
 
 
+def _numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place, from 0 in the order given: the rows of the ranges before, and the place in the own range.
+
+    The sorted rows are written with the number of their range first, so both readings see the same ranges; one row
+    a range is summed in a single task.
+    """
+    # Above the 33 low bits, which count within a range, is the range's number.
+    ranged = materialized(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return ranged.join(F.broadcast(before), "__range").withColumn("place", F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
+
+
+def _small(vocab: DataFrame, most_rows: int, most_bytes: int = 1 << 26) -> pa.Table | None:
+    """The vocabulary's ids and tokens, if it has no more rows and bytes than may be broadcast."""
+    rows, size = vocab.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    return vocab.select("id", "token").toArrow() if rows <= most_rows and size <= most_bytes else None
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
 def encode(chunks: DataFrame, vocab: DataFrame, id_col: str = "chunk_id", text_col: str = "text", vocab_limit: int = 200_000) -> DataFrame:
     """id, ids: each word's id, <unk> for others; case counts.
 
-    A vocabulary of up to vocab_limit rows is broadcast; a larger one is joined by token, where AQE may split a
-    frequent one.
+    A vocabulary of up to vocab_limit rows (and 64 MB) is broadcast and looked up in Arrow batches without a shuffle;
+    a larger one is joined by token, where AQE may split a frequent one.
     """
-    small = vocab.limit(vocab_limit + 1).count() <= vocab_limit
-    table = vocab.filter(F.col("freq").isNotNull()).select("id", "token").withColumnRenamed("id", "token_id")
+    own = vocab.filter(F.col("freq").isNotNull())
+    known = _small(own, vocab_limit)
+    if known is not None:
+        shared = chunks.sparkSession.sparkContext.broadcast((known.column("token").combine_chunks(), known.column("id").combine_chunks()))
+        schema = T.StructType([chunks.schema[id_col], T.StructField("ids", T.ArrayType(T.LongType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens, ids = shared.value
+            for batch in batches:
+                found = ids.take(pc.index_in(pc.list_flatten(batch.column(1)), value_set=tokens)).fill_null(UNK)
+                lists = pa.ListArray.from_arrays(_offsets(pc.list_value_length(batch.column(1)).to_numpy()), found)
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=schema.names)
+
+        return chunks.select(F.col(id_col), words(stripped(F.col(text_col))).alias("__words")).mapInArrow(run, schema)
     placed = chunks.select(F.col(id_col).alias("__key"), F.posexplode(words(stripped(F.col(text_col)))).alias("at", "token"))
-    found = placed.join(F.broadcast(table) if small else table, "token", "left")
+    found = placed.join(own.select(F.col("id").alias("token_id"), "token"), "token", "left")
     listed = found.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("token_id", F.lit(UNK).cast("long")).alias("i")))).alias("s"))
     whole = chunks.select(F.col(id_col).alias("__key")).join(listed, "__key", "left")
     return whole.select(F.col("__key").alias(id_col), F.coalesce(F.transform("s", lambda x: x["i"]), F.array().cast("array<bigint>")).alias("ids"))
@@ -43,17 +87,53 @@ def encode(chunks: DataFrame, vocab: DataFrame, id_col: str = "chunk_id", text_c
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "chunk_id", skip_special: bool = True, vocab_limit: int = 200_000) -> DataFrame:
     """id, text: the tokens of ids, joined by spaces; an id beyond the vocabulary is <unk>. vocab_limit as for encode."""
-    table = vocab.select("id", "token")
-    small = vocab.limit(vocab_limit + 1).count() <= vocab_limit
-    placed = encoded.select(F.col(id_col).alias("__key"), F.posexplode("ids").alias("at", "id")).join(F.broadcast(table) if small else table, "id", "left")
-    known = placed.withColumn("token", F.coalesce("token", F.lit(SPECIAL[UNK])))
+    known = _small(vocab, vocab_limit)
+    if known is not None:
+        shared = encoded.sparkSession.sparkContext.broadcast((known.column("token").combine_chunks(), known.column("id").combine_chunks()))
+        schema = T.StructType([encoded.schema[id_col], T.StructField("text", T.StringType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens, ids = shared.value
+            for batch in batches:
+                found = tokens.take(pc.index_in(pc.list_flatten(batch.column(1)), value_set=ids)).fill_null(SPECIAL[UNK])
+                offsets = _offsets(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+                if skip_special:
+                    keep = pc.invert(pc.is_in(found, value_set=pa.array(SPECIAL)))
+                    found, offsets = found.filter(keep), _offsets(keep.to_numpy(zero_copy_only=False))[offsets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(pa.ListArray.from_arrays(offsets, found), " ")], names=schema.names)
+
+        return encoded.select(id_col, "ids").mapInArrow(run, schema)
+    placed = encoded.select(F.col(id_col).alias("__key"), F.posexplode("ids").alias("at", "id")).join(vocab.select("id", "token"), "id", "left")
+    tokens = placed.withColumn("token", F.coalesce("token", F.lit(SPECIAL[UNK])))
     if skip_special:
-        known = known.filter(~F.col("token").isin(*SPECIAL))
-    listed = known.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("s"))
+        tokens = tokens.filter(~F.col("token").isin(*SPECIAL))
+    listed = tokens.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("s"))
     whole = encoded.select(F.col(id_col).alias("__key")).join(listed, "__key", "left")
     return whole.select(F.col("__key").alias(id_col), F.coalesce(F.array_join(F.transform("s", lambda x: x["token"]), " "), F.lit("")).alias("text"))
 
 
+def encode_prompts(prompts: DataFrame, vocab: DataFrame, length: int, id_col: str = "prompt_id", text_col: str = "text") -> DataFrame:
+    """id, input_ids, attention_mask of prompts, prepared as searchable(): the head of `length` ids, or ids and padding.
+
+    A prompt with one of MATH_SIGNS is an error when it is reached: formulas have no tokens.
+    """
+    signs = F.translate(F.col(text_col), MATH_SIGNS, "") != F.col(text_col)
+    checked = F.when(signs, F.raise_error(F.concat(F.lit("a prompt may not hold any of " + MATH_SIGNS + ": "), F.col(text_col)))).otherwise(searchable(F.col(text_col)))
+    ids = encode(prompts.select(F.col(id_col), checked.alias("__text")), vocab, id_col, "__text")
+    inputs, mask = padded(F.col("ids"), length)
+    return ids.select(id_col, inputs.alias("input_ids"), mask.alias("attention_mask"))
+
+
+def write_vocab(vocab: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The table of ids; an existing one is an error unless overwrite."""
+    vocab.select("id", "token", "freq").write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def read_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """A written vocabulary; a missing one is an error."""
+    return spark.read.schema("id long, token string, freq long").parquet(path)
+
+
 def padded(ids: Column, length: int, start: Column | None = None) -> tuple[Column, Column]:
     """(input_ids, attention_mask) of a length: a window from `start` (the head by default), or the ids and padding."""
     first = F.lit(1) if start is None else F.least(F.greatest(start, F.lit(0)), F.greatest(F.size(ids) - length, F.lit(0))) + 1

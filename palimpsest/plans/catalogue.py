@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import corpus, dense, latex, lexical, pooling, vocab
+from palimpsest.operators import corpus, dense, encoder, latex, lexical, pooling, vocab
 from palimpsest.plans import statements as sql
 from palimpsest.sources.papers import last_of_each
+from palimpsest.sources.shared import shared_path
 
 CANDIDATES = 500
 
@@ -196,6 +197,23 @@ def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("chunk_id", F.md5(text(inputs)).alias("inputs"), F.md5(text(mask)).alias("mask"))
 
 
+def prompt_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items as prompts, without the signs that a prompt may not hold."""
+    words = vocab.build_vocab(_table(spark, sf_dir, "documents"), 5)
+    prompts = _table(spark, sf_dir, "benchmark").select("item_id", F.translate("text", vocab.MATH_SIGNS, "").alias("text"))
+    text = lambda a: F.array_join(F.transform(a, lambda i: i.cast("string")), " ")
+    return vocab.encode_prompts(prompts, words, 160, "item_id").select("item_id", F.md5(text("input_ids")).alias("inputs"), F.md5(text("attention_mask")).alias("mask"))
+
+
+def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through a small encoder with seeded weights."""
+    ids, words = _encoded(spark, sf_dir)
+    shape = encoder.Shape(words.count(), width=64, heads=4, layers=2, inner=128, out=64)
+    inputs, mask = vocab.padded(F.col("ids"), 160)
+    samples = ids.select("chunk_id", inputs.alias("input_ids"), mask.alias("attention_mask"))
+    return encoder.embed(samples, encoder.random_weights(shape), shape)
+
+
 def unk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.usable(_encoded(spark, sf_dir)[0], 0.4, 0.5, 160).select("chunk_id")
 
@@ -244,6 +262,13 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir).select("chunk_id", F.round("lex_score", 6).alias("score"), F.col("lex_rank").cast("long").alias("rank"))
 
 
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lexical_topk from an index of all chunks."""
+    path = shared_path(spark, "index")
+    lexical.write_index(_chunks(spark, sf_dir).select("chunk_id", "text"), path)
+    return lexical.search_index(spark, path, _prompt(spark, sf_dir), CANDIDATES).select("chunk_id", F.round("lex_score", 6).alias("score"), F.col("lex_rank").cast("long").alias("rank"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     query = vectors.filter("chunk_id = 0").first()["embedding"]
@@ -285,8 +310,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         tokenize_counts, latinize_text, dash_fold, punct_normalize, leftover_symbol_gate, clean_latex, number_masking, placeholder_ladder, macro_extract, macro_expand, macro_merge, paper_sections,
         sections_split, chunk_split, chunk_filter_min_tokens, chunk_filter_placeholder, chunk_ids_positions, corpus_build, corpus_report, seq_length_estimate,
-        vocab_build, vocab_capped, vocab_encode, vocab_decode, pad_truncate, unk_filter, train_valid_split, mean_pool_l2, infonce_loss,
-        metadata_last_wins, skip_anti_join, tfidf_weights, lexical_topk, matches_report, find_papers,
+        vocab_build, vocab_capped, vocab_encode, vocab_decode, pad_truncate, prompt_encode, chunk_embeddings, unk_filter, train_valid_split, mean_pool_l2, infonce_loss,
+        metadata_last_wins, skip_anti_join, tfidf_weights, lexical_topk, index_search, matches_report, find_papers,
     )
     found = {f.__name__: f for f in plain}
     found["dense_scores"] = _ranked("dense")

@@ -161,6 +161,12 @@ SELECT (ceil(n / 32.0) * 32)::BIGINT AS sequence_length FROM o WHERE place = flo
         "vocab_encode": f"WITH {_ENCODED} SELECT chunk_id, len(ids)::BIGINT AS n_ids, md5({ids.format('ids')}) AS digest FROM encoded",
         "vocab_decode": f"WITH {_ENCODED}, texts AS (SELECT chunk_id, string_agg(token, ' ' ORDER BY place) AS t FROM known JOIN own USING (id) GROUP BY chunk_id) SELECT encoded.chunk_id, md5(coalesce(t, '')) AS digest FROM encoded LEFT JOIN texts USING (chunk_id)",
         "pad_truncate": f"WITH {_ENCODED} SELECT chunk_id, md5({ids.format(f'list_concat({window}, list_transform(range({missing}), lambda x: 0::BIGINT))')}) AS inputs, md5({ids.format(f'list_concat(list_transform({window}, lambda x: 1), list_transform(range({missing}), lambda x: 0))')}) AS mask FROM encoded",
+        "prompt_encode": f"""
+WITH {_VOCAB}, asked AS (SELECT item_id, regexp_extract_all({_SEARCH.replace("text", "translate(text, '_^$', '')")}, '{_WORD}') AS w FROM benchmark),
+placed AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM asked),
+listed AS (SELECT item_id, list(coalesce(own.id, 1) ORDER BY place) AS ids FROM placed LEFT JOIN own USING (token) GROUP BY item_id),
+whole AS (SELECT item_id, coalesce(ids, []) AS ids FROM asked LEFT JOIN listed USING (item_id))
+SELECT item_id, md5({ids.format(f'list_concat({window}, list_transform(range({missing}), lambda x: 0::BIGINT))')}) AS inputs, md5({ids.format(f'list_concat(list_transform({window}, lambda x: 1), list_transform(range({missing}), lambda x: 0))')}) AS mask FROM whole""",
         "unk_filter": f"WITH {_ENCODED}, r AS (SELECT chunk_id, least(len(ids), 160) AS real, len(list_filter({window}, lambda i: i = 1)) AS unk FROM encoded) SELECT chunk_id FROM r WHERE real > 0 AND NOT ((160 - real) / 160 <= 0.5 AND unk / real > 0.4)",
         "mean_pool_l2": """
 WITH p AS (SELECT label::BIGINT AS label, (generate_subscripts(embedding, 1) - 1)::BIGINT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -177,6 +183,7 @@ SELECT batch, round(avg(l), 6) AS loss FROM r GROUP BY batch""",
         "skip_anti_join": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
         "tfidf_weights": f"WITH {_TFIDF} SELECT chunk_id, term, round(raw / norm, 6) AS weight FROM raw JOIN norm USING (chunk_id)",
         "lexical_topk": f"WITH {_matching(candidates)} SELECT chunk_id, round(lex_score, 6) AS score, lex_rank AS rank FROM lex",
+        "index_search": f"WITH {_matching(candidates)} SELECT chunk_id, round(lex_score, 6) AS score, lex_rank AS rank FROM lex",
         "dense_scores": ranked["dense"],
         **{f"rerank_{name}": ranked[name] for name in ("tfidf", "pin_top", "fusion", "rrf")},
         "pool_section": pool("section", 1, 1),

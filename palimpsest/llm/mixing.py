@@ -54,23 +54,27 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Null text: size 0. Null source: a source of its own, last. A source without words: target 0, no copies. Rows
     that repeat an id and its text: the same number of copies each. Input columns called like an output are
-    replaced. Empty table: no rows.
+    replaced; any other name may be in docs. Empty table: no rows.
     """
     columns = without(docs, *OUT)
+    return _planned(docs, columns, id_col, text_col, source_col, weights, most, seed, broadcast_sources).toDF(*columns, *OUT)
+
+
+def _planned(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, broadcast_sources: int = 50_000) -> DataFrame:
+    """What mix_plan gives, with the columns named as __in_0, __in_1 and so on."""
     text = F.coalesce(col(text_col), F.lit(""))
-    sized = docs.select(*(col(c) for c in columns), F.regexp_count(text, F.lit(WORD)).cast("long").alias("__size"), coin(seed, col(id_col), text).alias("__coin"))
-    targets = source_targets(sized.select(col(source_col).alias("__s"), "__size"), "__s", "__size", weights, most)
+    own = [f"__in_{i}" for i in range(len(columns))]
+    sized = docs.select(*(col(c).alias(n) for c, n in zip(columns, own, strict=True)), col(source_col).alias("__s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("__size"), coin(seed, col(id_col), text).alias("__coin"))
+    targets = source_targets(sized, "__s", "__size", weights, most)
     few = docs.select(col(source_col)).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
-    joined = sized.join(F.broadcast(targets) if few else targets, col(source_col).eqNullSafe(F.col("__source")))
+    joined = sized.join(F.broadcast(targets) if few else targets, F.col("__s").eqNullSafe(F.col("__source")))
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size").cast("double")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + (F.col("__coin") < rate - F.floor(rate)).cast("long")).cast("long")
-    return joined.withColumn("__copies", copies).select(*(col(c) for c in columns), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    return joined.withColumn("__copies", copies).select(*own, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as mix_plan says, with docs' own columns."""
-    repeated = [c for c in docs.columns if c.lower() in OUT]
-    safe = docs.select(*(col(c).alias(f"__kept_{c}") if c in repeated else col(c) for c in docs.columns))
-    plan = mix_plan(safe, **options)
+    plan = _planned(docs, docs.columns, **options)
     rows = plan.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return rows.select(*(col(f"__kept_{c}").alias(c) if c in repeated else col(c) for c in docs.columns))
+    return rows.drop("__copy", *OUT).toDF(*docs.columns)

@@ -58,10 +58,10 @@ def _repeated(words: list[bytes]) -> int:
 
 
 def scored(docs: DataFrame, model: Broadcast, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of docs that are named and those of METRICS."""
+    """The columns of docs that are named, as __in_0, __in_1 and so on, and those of METRICS."""
     small_batches(docs.sparkSession)
-    rows = docs.select(*(col(c) for c in columns), col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, t) for n, t in METRICS)])
+    rows = docs.select(*(col(c).alias(f"__in_{i}") for i, c in enumerate(columns)), col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in METRICS)])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +118,18 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     broadcast_languages of them (their number is checked), else joined by a shuffle that AQE may split.
 
     Null text: no words, base_failed, log_perplexity null. Null lang: a language of its own. A language all of whose
-    rows fail has no bands. Input columns called like an output are replaced. Empty table: no rows.
+    rows fail has no bands. Input columns called like an output are replaced; any other name may be in docs. Empty
+    table: no rows.
     """
+    columns = list(carry) if carry else without(docs, *OUT)
+    lang = f"__in_{columns.index(lang_col)}"
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, text_col))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    narrow = written(scored(docs, model, list(carry) if carry else [lang_col], text_col).withColumn("base_failed", failed))
-    metrics = narrow if carry else scored(docs, model, without(docs, *OUT), text_col).withColumn("base_failed", failed)
-    limits = bands(narrow, lang_col, least_rows, width)
+    narrow = written(scored(docs, model, columns if carry else [lang_col], text_col).withColumn("base_failed", failed))
+    metrics = narrow if carry else scored(docs, model, columns, text_col).withColumn("base_failed", failed)
+    limits = bands(narrow, lang if carry else "__in_0", least_rows, width)
     if limits.limit(broadcast_languages + 1).count() <= broadcast_languages:
         limits = F.broadcast(limits)
-    joined = metrics.join(limits, col(lang_col).eqNullSafe(F.col("__lang")), "left").drop("__lang")
+    joined = metrics.join(limits, F.col(lang).eqNullSafe(F.col("__lang")), "left").drop("__lang")
     inside = F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band"))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).toDF(*columns, *OUT)

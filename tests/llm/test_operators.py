@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import byte_bpe, byte_cnn, chat, exact_dedup, mixing, ngram_join, pii, quality_rules, queries, sequence_tagger, token_counts, toxicity
 from palimpsest.llm.common import safe_parts
@@ -78,6 +79,26 @@ def test_empty_tables(spark, labels):
         assert frame.count() == 0, name
 
 
+CLASHING = (
+    "__id", "__text", "__th", "__key", "__h", "__keep", "__size", "__source", "__copy", "__lang", "__in_0", "__kept_size", "__n", "__maybe", "__akey", "__bloom_word", "word", "bits", "sig", "token", "id", "a.b",
+    "Keep_ID", "TEXT_SHA256", "size", "copies", "log_perplexity", "lower_band", "held_out", "predicted", "spans", "n_tokens", "component_id", "label",
+)
+
+
+def test_clashing_names(spark, edges, labels):
+    """Columns called like an operator's own change no result, and stages return the columns that they got."""
+    import corpus_pipeline as cp
+
+    plain = edges.drop("kept", "score")
+    wide = plain.select("*", *(F.lit("x").alias(n) for n in CLASHING))
+    assert {k: v.count() for k, v in every_operator(wide, labels).items()} == {k: v.count() for k, v in every_operator(plain, labels).items()}
+    for name, stage in cp.STAGES[:-1]:
+        found = stage(spark, wide, DATA)
+        assert found.columns == wide.columns, name
+        assert sorted(map(str, found.select(plain.columns).collect())) == sorted(map(str, stage(spark, plain, DATA).collect())), name
+        assert stage(spark, wide.limit(0), DATA).count() == 0, name
+
+
 def test_mixed_keeps_columns(spark, edges):
     assert mixing.mixed(edges).columns == edges.columns
 

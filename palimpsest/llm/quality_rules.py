@@ -60,17 +60,21 @@ def _repeated(words: list[bytes]) -> int:
 def scored(docs: DataFrame, model: Broadcast, columns: list[str], text_col: str = "text") -> DataFrame:
     """The columns of docs that are named, as __in_0, __in_1 and so on, and those of METRICS."""
     small_batches(docs.sparkSession)
-    rows = docs.select(*(col(c).alias(f"__in_{i}") for i, c in enumerate(columns)), col(text_col).cast("string").alias("__text"))
+    own = [f"__in_{i}" for i in range(len(columns))]
+    rows = docs.select(*(col(c).alias(n) for c, n in zip(columns, own, strict=True)), col(text_col).cast("string").alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in METRICS)])
-    names = schema.names
+    names, at, kept = schema.names, len(columns), len(columns)
+    if text_col in columns and isinstance(docs.schema[text_col].dataType, T.StringType):
+        # A text that is kept passes to the worker once.
+        rows, at = rows.select(own), columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in split_batch(batch, batch.num_columns - 1, 1 << 20):
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+            for part in split_batch(batch, at, 1 << 20):
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 found = [pa.array(x, pa.int64()) for x in zip(*map(counts, texts), strict=True)]
                 perplexity = pa.array(model.value.scores(texts), pa.float64(), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found, perplexity], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *found, perplexity], names=names)
 
     return rows.mapInArrow(run, schema)
 

@@ -44,8 +44,11 @@ FOLDED = _folded()
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each character of the texts, and where each text starts (empty ones included)."""
-    joined = PAD + PAD.join(texts) if texts else ""
+    """The n-gram code that ends at each character of the texts and at the edges after them, and where each text starts (empty ones included).
+
+    Every text is followed by edges, the last one too: what is counted does not depend on how texts are batched.
+    """
+    joined = PAD + PAD.join([*texts, ""]) if texts else ""
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     s = np.where(points < 1 << 16, FOLDED[points & 0xFFFF], _OTHER_LETTER).astype(np.int32)
     codes = ((s[:-3] * BASE + s[1:-2]) * BASE + s[2:-1]) * BASE + s[3:]

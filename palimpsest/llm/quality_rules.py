@@ -79,24 +79,26 @@ def scored(docs: DataFrame, model: Broadcast, columns: list[str], text_col: str
     return rows.mapInArrow(run, schema)
 
 
-def bands(metrics: DataFrame, lang: str, least: int, width: float) -> DataFrame:
-    """lang, lower, upper: the quartiles of log perplexity of the rows that pass the base rules, and `width` times their distance beyond them.
+def bands(metrics: DataFrame, lang: str, prior: float, width: float) -> DataFrame:
+    """lang, lower_band, upper_band: the quartiles of log perplexity of the language's rows that pass the base rules, and `width` times their distance beyond them.
 
-    Counted in bins: one row per language and bin is shuffled. Languages with fewer than `least` such rows have the
-    bands of all rows.
+    Counted in bins: one row per language and bin is shuffled. The quartiles are the language's own whatever its size;
+    their distance is averaged with the mean distance in all languages, which counts as `prior` rows do, so that the
+    distance of a few rows is steadied and no number of rows is a threshold. It is 2 bins at least.
     """
     value = F.floor(F.col("log_perplexity") * BINS)
     bins = metrics.filter("not base_failed and log_perplexity is not null").groupBy(F.col(lang).alias("__lang"), value.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
-    own = _fences(bins, width, "__lang")
-    every = _fences(bins.groupBy("bin").agg(F.sum("n").alias("n")), width).first()
-    low, high = (every["lower"], every["upper"]) if every else (None, None)
-    few = F.col("total") < least
-    return own.select("__lang", *(F.when(few, F.lit(x).cast("double")).otherwise(F.col(c)).alias(f"{c}_band") for c, x in (("lower", low), ("upper", high))))
+    own = _quartiles(bins, "__lang").withColumn("spread", F.col("q3") - F.col("q1"))
+    # Sums of whole numbers: the same in any order.
+    every = own.agg(F.sum(F.col("total") * F.col("spread")).alias("spread"), F.sum("total").alias("total")).first()
+    typical = every["spread"] / every["total"] if every["total"] else 0.0
+    spread = F.greatest((F.col("total") * F.col("spread") + F.lit(prior * typical)) / (F.col("total") + F.lit(float(prior))), F.lit(2.0)) * width
+    return own.select("__lang", ((F.col("q1") - spread) / BINS).alias("lower_band"), ((F.col("q3") + spread) / BINS).alias("upper_band"))
 
 
-def _fences(bins: DataFrame, width: float, *keys: str) -> DataFrame:
-    """keys, total, lower, upper: from the bins of one key, of which there are as many as values, not as rows."""
+def _quartiles(bins: DataFrame, *keys: str) -> DataFrame:
+    """keys, total, q1, q3 (bins): from the bins of one key, of which there are as many as values, not as rows."""
     listed = bins.groupBy(*keys).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
 
     def quantile(share: float) -> Column:
@@ -106,18 +108,16 @@ def _fences(bins: DataFrame, width: float, *keys: str) -> DataFrame:
             seen = a.seen + b.n
             return F.struct(seen.alias("seen"), F.when(a.at.isNull() & (seen >= F.col("total") * share), b.bin).otherwise(a.at).alias("at"))
 
-        return F.aggregate("bins", start, step).at / BINS
+        return F.aggregate("bins", start, step).at
 
-    q1, q3 = quantile(0.25), quantile(0.75)
-    spread = F.greatest(q3 - q1, F.lit(2.0 / BINS))
-    return listed.filter("total > 0").select(*keys, "total", (q1 - width * spread).alias("lower"), (q3 + width * spread).alias("upper"))
+    return listed.select(*keys, "total", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_rows: int = 200, width: float = 3.0, carry: tuple[str, ...] | None = None, broadcast_languages: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", prior: float = 20.0, width: float = 3.0, carry: tuple[str, ...] | None = None, broadcast_languages: int = 20_000) -> DataFrame:
     """Every row of docs with the columns of OUT; carry names the columns of docs to keep, lang_col among them (all by default).
 
     base_failed: fewer than 50 words, or more than half of the words repeat. kept: not base_failed, and the log
-    perplexity is within the bands of the row's language. What the bands are counted from is written to the shared
+    perplexity is within the bands of the row's language, which prior rows steady (see bands). What the bands are counted from is written to the shared
     folder without the texts; unless carry does without them, the texts are scored once more as they pass. The bands, a row for each language, are broadcast where there are at most
     broadcast_languages of them (their number is checked), else joined by a shuffle that AQE may split.
 
@@ -131,7 +131,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     narrow = written(scored(docs, model, columns if carry else [lang_col], text_col).withColumn("base_failed", failed))
     metrics = narrow if carry else scored(docs, model, columns, text_col).withColumn("base_failed", failed)
-    limits = bands(narrow, lang if carry else "__in_0", least_rows, width)
+    limits = bands(narrow, lang if carry else "__in_0", prior, width)
     if limits.limit(broadcast_languages + 1).count() <= broadcast_languages:
         limits = F.broadcast(limits)
     joined = metrics.join(limits, F.col(lang).eqNullSafe(F.col("__lang")), "left").drop("__lang")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -14,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, byte_cnn, chat, exact_dedup, mixing, ngram_join, pii, quality_rules, queries, sequence_tagger, token_counts, toxicity
+from palimpsest.llm import byte_bpe, byte_cnn, chat, exact_dedup, mixing, ngram_join, perplexity, pii, quality_rules, queries, sequence_tagger, token_counts, toxicity
 from palimpsest.llm.common import safe_parts
 from tests.conftest import DATA, rows
 
@@ -120,6 +122,73 @@ def test_rules_against_brute_force(spark, docs):
         assert not (row.kept and row.base_failed)
 
 
+def plain_perplexities(texts):
+    """The mean negative log probability of each text's characters by modified Kneser-Ney over folded characters, by dictionaries."""
+    order, base = perplexity.ORDER, perplexity.BASE
+    folded = {i: tuple(int(perplexity.FOLDED[ord(c)]) if ord(c) < 1 << 16 else 4 for c in t) for i, t in texts.items()}
+    pad = (0,) * (order - 1)
+    counts = {order: Counter(s[j : j + order] for t in folded.values() for s in [pad + t + pad] for j in range(len(s) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    sizes, totals, spare = {}, Counter(), Counter()
+    for k, found in counts.items():
+        of = Counter(min(n, 5) for n in found.values())
+        n1, n2, n3, n4 = (max(1, of[i]) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        sizes[k] = [min(max(x, 0.05), most) for x, most in zip((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), (0.95, 1.9, 2.9), strict=True)]
+        for g, n in found.items():
+            totals[g[:-1]] += n
+            spare[g[:-1]] += sizes[k][min(n, 3) - 1]
+
+    @functools.cache
+    def p(g):
+        if not g:
+            return 1 / base
+        below = p(g[1:])
+        if not totals[g[:-1]]:
+            return below
+        n = counts[len(g)][g]
+        return ((n - sizes[len(g)][min(n, 3) - 1]) / totals[g[:-1]] if n else 0) + spare[g[:-1]] / totals[g[:-1]] * below
+
+    return {i: -sum(math.log(p((pad + t)[j : j + order])) for j in range(len(t))) / len(t) for i, t in folded.items() if t}
+
+
+def plain_bands(values, prior=20, width=3):
+    """The bands of each language: from lists of the log perplexities of its passing rows."""
+    bins = {k: sorted(math.floor(x * 500) for x in v) for k, v in values.items()}
+    ends = {k: (v[math.ceil(len(v) / 4) - 1], v[math.ceil(len(v) * 3 / 4) - 1]) for k, v in bins.items()}
+    typical = sum(len(bins[k]) * (b - a) for k, (a, b) in ends.items()) / sum(map(len, bins.values()))
+    spread = {k: width * max(2, (len(bins[k]) * (b - a) + prior * typical) / (len(bins[k]) + prior)) for k, (a, b) in ends.items()}
+    return {k: ((a - spread[k]) / 500, (b + spread[k]) / 500) for k, (a, b) in ends.items()}
+
+
+def test_bands_against_brute_force(spark, docs):
+    found = queries.op2_quality_rules(spark, DATA).toPandas().set_index("doc_id")
+    plain = plain_perplexities(dict(zip(docs.doc_id, docs.text, strict=True)))
+    langs, values = dict(zip(docs.doc_id, docs.lang, strict=True)), {}
+    for i, row in found.iterrows():
+        assert row.log_perplexity == pytest.approx(plain[i], abs=2e-5)
+        if not row.base_failed:
+            values.setdefault(langs[i], []).append(row.log_perplexity)
+    limits = plain_bands(values)
+    assert len(limits) == 4 and len(set(limits.values())) == 4
+    for i, row in found.iterrows():
+        low, high = limits[langs[i]]
+        assert (row.lower_band, row.upper_band) == pytest.approx((low, high), abs=1e-12)
+        assert row.kept == (not row.base_failed and low <= row.log_perplexity <= high)
+
+
+def test_bands_of_few_rows(spark):
+    """A language has bands of its own from the first row on, which another language does not move."""
+    rows_ = [("a", 1.0 + i / 100, False) for i in range(300)] + [("b", 5.0, False)] + [("c", 3.0 + i / 10, False) for i in range(4)] + [("d", 1.0, True)]
+    values = {k: [x for lang, x, failed in rows_ if lang == k and not failed] for k in "abc"}
+    df = spark.createDataFrame(rows_, "lang string, log_perplexity double, base_failed boolean")
+    found = {r.asDict()["__lang"]: (r.lower_band, r.upper_band) for r in quality_rules.bands(df, "lang", 20.0, 3.0).collect()}
+    assert found.keys() == values.keys()
+    for k, limits in plain_bands(values).items():
+        assert found[k] == pytest.approx(limits, abs=1e-12) and found[k][0] < values[k][0] < found[k][1]
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.75), ("op3_quality_classifier", "quality", 0.9)])
 def test_held_out_ranking(spark, name, label, least):
     folder = DATA.replace("0.001", "0.01")

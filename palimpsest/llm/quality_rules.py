@@ -6,17 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import SPACES, col, small_batches, split_batch, without, written
+from palimpsest.llm.common import LOWER, SPACES, col, small_batches, split_batch, without, written
 from palimpsest.llm.perplexity import fitted
 
 METRICS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("log_perplexity", T.DoubleType())]
 OUT = tuple(n for n, _ in METRICS) + ("base_failed", "lower_band", "upper_band", "kept")
 _SYMBOLS = b"#*$%&|<>"
+#: The columns that mapInArrow adds: METRICS and the hash of the text, equal for texts that exact_dedup holds equal.
+_MADE = [*METRICS, ("__text_hash", T.BinaryType())]
 #: Log perplexities are counted in bins of 1 / BINS.
 BINS = 500
 
@@ -57,12 +60,17 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def text_hash(text: str) -> bytes:
+    """The 128-bit hash of a text with A-Z in lower case."""
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass").translate(LOWER))
+
+
 def scored(docs: DataFrame, model: Broadcast, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of docs that are named, as __in_0, __in_1 and so on, and those of METRICS."""
+    """The columns of docs that are named, as __in_0, __in_1 and so on, those of METRICS and __text_hash."""
     small_batches(docs.sparkSession)
     own = [f"__in_{i}" for i in range(len(columns))]
     rows = docs.select(*(col(c).alias(n) for c, n in zip(columns, own, strict=True)), col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in METRICS)])
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(n, t) for n, t in _MADE)])
     names, at, kept = schema.names, len(columns), len(columns)
     if text_col in columns and isinstance(docs.schema[text_col].dataType, T.StringType):
         # A text that is kept passes to the worker once.
@@ -74,7 +82,8 @@ def scored(docs: DataFrame, model: Broadcast, columns: list[str], text_col: str
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 found = [pa.array(x, pa.int64()) for x in zip(*map(counts, texts), strict=True)]
                 perplexity = pa.array(model.value.scores(texts), pa.float64(), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *found, perplexity], names=names)
+                hashes = pa.array(map(text_hash, texts), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *found, perplexity, hashes], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -82,12 +91,14 @@ def scored(docs: DataFrame, model: Broadcast, columns: list[str], text_col: str
 def bands(metrics: DataFrame, lang: str, prior: float, width: float) -> DataFrame:
     """lang, lower_band, upper_band: the quartiles of log perplexity of the language's rows that pass the base rules, and `width` times their distance beyond them.
 
-    Counted in bins: one row per language and bin is shuffled. The quartiles are the language's own whatever its size;
-    their distance is averaged with the mean distance in all languages, which counts as `prior` rows do, so that the
-    distance of a few rows is steadied and no number of rows is a threshold. It is 2 bins at least.
+    Each text counts once in its language, however many rows repeat it, so copies neither move nor narrow the bands; of
+    texts that differ in the case of A-Z only, the lowest perplexity counts. One row per language and text is shuffled,
+    then one per language and bin. The quartiles are the language's own whatever its size;
+    their distance is averaged with the mean distance in all languages, which counts as `prior` texts do, so that the
+    distance of a few texts is steadied and no number of texts is a threshold. It is 2 bins at least.
     """
-    value = F.floor(F.col("log_perplexity") * BINS)
-    bins = metrics.filter("not base_failed and log_perplexity is not null").groupBy(F.col(lang).alias("__lang"), value.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    once = metrics.filter("not base_failed and log_perplexity is not null").groupBy(F.col(lang).alias("__lang"), "__text_hash").agg(F.min("log_perplexity").alias("value"))
+    bins = once.groupBy("__lang", F.floor(F.col("value") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
     own = _quartiles(bins, "__lang").withColumn("spread", F.col("q3") - F.col("q1"))
     # Sums of whole numbers: the same in any order.
@@ -117,7 +128,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """Every row of docs with the columns of OUT; carry names the columns of docs to keep, lang_col among them (all by default).
 
     base_failed: fewer than 50 words, or more than half of the words repeat. kept: not base_failed, and the log
-    perplexity is within the bands of the row's language, which prior rows steady (see bands). What the bands are counted from is written to the shared
+    perplexity is within the bands of the row's language, counted from distinct texts and steadied by prior ones (see bands). What the bands are counted from is written to the shared
     folder without the texts; unless carry does without them, the texts are scored once more as they pass. The bands, a row for each language, are broadcast where there are at most
     broadcast_languages of them (their number is checked), else joined by a shuffle that AQE may split.
 
@@ -134,6 +145,6 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     limits = bands(narrow, lang if carry else "__in_0", prior, width)
     if limits.limit(broadcast_languages + 1).count() <= broadcast_languages:
         limits = F.broadcast(limits)
-    joined = metrics.join(limits, F.col(lang).eqNullSafe(F.col("__lang")), "left").drop("__lang")
+    joined = metrics.join(limits, F.col(lang).eqNullSafe(F.col("__lang")), "left").drop("__lang", "__text_hash")
     inside = F.col("log_perplexity").between(F.col("lower_band"), F.col("upper_band"))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).toDF(*columns, *OUT)

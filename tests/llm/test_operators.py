@@ -165,12 +165,14 @@ def plain_bands(values, prior=20, width=3):
 def test_bands_against_brute_force(spark, docs):
     found = queries.op2_quality_rules(spark, DATA).toPandas().set_index("doc_id")
     plain = plain_perplexities(dict(zip(docs.doc_id, docs.text, strict=True)))
-    langs, values = dict(zip(docs.doc_id, docs.lang, strict=True)), {}
+    langs, lowest = dict(zip(docs.doc_id, docs.lang, strict=True)), {}
+    lower = {i: t.translate({c: c + 32 for c in range(65, 91)}) for i, t in zip(docs.doc_id, docs.text, strict=True)}
     for i, row in found.iterrows():
         assert row.log_perplexity == pytest.approx(plain[i], abs=2e-5)
         if not row.base_failed:
-            values.setdefault(langs[i], []).append(row.log_perplexity)
-    limits = plain_bands(values)
+            key = langs[i], lower[i]
+            lowest[key] = min(lowest.get(key, math.inf), row.log_perplexity)
+    limits = plain_bands({k: [x for (lang, _), x in lowest.items() if lang == k] for k in set(langs.values())})
     assert len(limits) == 4 and len(set(limits.values())) == 4
     for i, row in found.iterrows():
         low, high = limits[langs[i]]
@@ -182,13 +184,32 @@ def test_bands_of_few_rows(spark):
     """A language has bands of its own from the first row on, which another language does not move."""
     rows_ = [("a", 1.0 + i / 100, False) for i in range(300)] + [("b", 5.0, False)] + [("c", 3.0 + i / 10, False) for i in range(4)] + [("d", 1.0, True)]
     values = {k: [x for lang, x, failed in rows_ if lang == k and not failed] for k in "abc"}
-    df = spark.createDataFrame(rows_, "lang string, log_perplexity double, base_failed boolean")
+    df = spark.createDataFrame(rows_, "lang string, log_perplexity double, base_failed boolean").withColumn("__text_hash", F.col("log_perplexity").cast("string").cast("binary"))
     found = {r.asDict()["__lang"]: (r.lower_band, r.upper_band) for r in quality_rules.bands(df, "lang", 20.0, 3.0).collect()}
     assert found.keys() == values.keys()
     for k, limits in plain_bands(values).items():
         assert found[k] == pytest.approx(limits, abs=1e-12) and found[k][0] < values[k][0] < found[k][1]
 
 
+def test_copies_leave_the_bands(spark):
+    """Copies of one text, in any case of letters, change neither the bands nor the verdicts of the others."""
+    random.seed(4)
+    vocabulary = ["".join(random.choice("abcdefghij") for _ in range(random.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(60, 120))) for _ in range(40)]
+    model = perplexity.fitted(spark.createDataFrame([(t,) for t in texts], "text string"))
+    shared = spark.sparkContext.broadcast(model)
+
+    def limits(made):
+        df = spark.createDataFrame([("en", t) for t in made], "lang string, text string")
+        metrics = quality_rules.scored(df, shared, ["lang"]).withColumn("base_failed", F.lit(False))
+        return quality_rules.bands(metrics, "__in_0", 20.0, 3.0).collect()
+
+    plain = limits(texts)
+    assert limits(texts + [texts[0]] * 200) == plain
+    copies = [texts[0], texts[0].upper()]
+    assert limits(texts + copies * 100) == limits(texts + copies)
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.75), ("op3_quality_classifier", "quality", 0.9)])
 def test_held_out_ranking(spark, name, label, least):
     folder = DATA.replace("0.001", "0.01")

@@ -33,10 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, tidy: bool = True) -> DataFrame:
+def written(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Cuts the lineage: df is written to the shared folder and read back, so a lost executor costs a reread only.
 
-    tidy: the shuffle files of the job that has just ended are released at once.
+    tidy: the driver collects its garbage, upon which Spark removes the shuffle files of the jobs that have ended; else
+    they stay until it happens to.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"

@@ -17,6 +17,8 @@ t of either, so under any order of all shingles the first n - ceil(t n) + 1 of o
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,6 +35,10 @@ _MEMO = 1 << 17
 _BITMAP = 8
 
 
+#: What is written between steps; the shuffle files of the steps before are several times the input, so they are not left to chance.
+kept = functools.partial(written, tidy=True)
+
+
 class _Hashes(dict):
     """Words to their hashes; emptied when it has _MEMO words."""
 
@@ -178,13 +184,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round a node takes the least label of its neighbours, then its label's label, so paths halve; it ends when no
     label changes. Labels are written to the shared folder each round; none come to the driver.
     """
-    both = written(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).filter("node != other").distinct())
-    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), tidy=False)
+    both = kept(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).filter("node != other").distinct())
+    labels = kept(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), tidy=False)
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         upper = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        labels = written(lower.join(upper, "label", "left").select("node", "before", F.least("label", "jump").alias("label")), tidy=False)
+        labels = kept(lower.join(upper, "label", "left").select("node", "before", F.least("label", "jump").alias("label")), tidy=False)
         if labels.filter("before != label").isEmpty():
             return labels.select("node", "label")
 
@@ -201,18 +207,18 @@ def linked(sets: DataFrame, percent: int, rounds: int = 6) -> DataFrame:
     members outside their bucket's largest label are held against members of that label, a few for each round, in the
     order of a hash. What is still apart after that is verified pair by pair, so no link is lost whatever the rounds do.
     """
-    postings = written(sets.select("sig", "n", F.size("shared").cast("long").alias("e"), F.posexplode("first").alias("at", "token")))
+    postings = kept(sets.select("sig", "n", F.size("shared").cast("long").alias("e"), F.posexplode("first").alias("at", "token")))
     size, before = postings.count(), None
-    labels = _merged(None, written(verified(_against_pivot(postings, percent), sets, percent)))
-    mixed = written(_mixed(_labelled(postings, labels)))
+    labels = _merged(None, kept(verified(_against_pivot(postings, percent), sets, percent)))
+    mixed = kept(_mixed(_labelled(postings, labels)))
     for turn in range(rounds):
         apart = mixed.agg(F.sum(F.col("all") - F.col("largest"))).first()[0] or 0
         if apart <= size // 8 or before is not None and apart > 0.8 * before:
             break
         before = apart
-        labels = _merged(labels, written(verified(_against_largest(mixed, percent, turn, 8), sets, percent)))
-        mixed = written(_mixed(_labelled(mixed.select(postings.columns), labels)))
-    labels = _merged(labels, written(verified(_open_pairs(mixed, sets, percent), sets, percent)))
+        labels = _merged(labels, kept(verified(_against_largest(mixed, percent, turn, 8), sets, percent)))
+        mixed = kept(_mixed(_labelled(mixed.select(postings.columns), labels)))
+    labels = _merged(labels, kept(verified(_open_pairs(mixed, sets, percent), sets, percent)))
     return labels if labels is not None else sets.limit(0).select("sig", F.col("sig").alias("label"))
 
 
@@ -234,7 +240,7 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     top = components(edges).select(F.col("node").alias("label"), F.col("label").alias("top"))
     old = labels.join(top, "label", "left").select("sig", F.coalesce("top", "label").alias("label"))
     new = top.select(F.col("label").alias("sig"), F.col("top").alias("label"))
-    return written(old.union(new).groupBy("sig").agg(F.min("label").alias("label")))
+    return kept(old.union(new).groupBy("sig").agg(F.min("label").alias("label")))
 
 
 def _against_pivot(now: DataFrame, percent: int) -> DataFrame:
@@ -295,9 +301,9 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text: as without words. Null id: linked like others, but smaller only than nothing. Repeated rows: each a row,
     linked to each other. Empty table: no rows. Other columns of docs are not carried.
     """
-    signed = written(signatures(docs, id_col, text_col, size, percent, spare))
-    found = written(survivors(signed))
-    sets = written(ordered_sets(written(whole_sets(docs, found, id_col, text_col, size, max_filter_log2)), percent))
+    signed = kept(signatures(docs, id_col, text_col, size, percent, spare))
+    found = kept(survivors(signed))
+    sets = kept(ordered_sets(kept(whole_sets(docs, found, id_col, text_col, size, max_filter_log2)), percent))
     labels = linked(sets, percent)
     classes = signed.filter("n > 0").groupBy("sig").agg(F.min("__id").alias("low"), F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__th")).alias("first"))
     own = classes.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
@@ -316,7 +322,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = ngram_groups(docs, id_col, text_col, max_filter_log2=max_filter_log2, **options)
     same = F.col("__id").eqNullSafe(F.col("__first.id")) & (F.col("__th") == F.col("__first.th"))
     actions = groups.filter("n_shingles > 0").groupBy(F.col("__id").alias("__aid"), F.col("__th").alias("__ath")).agg(F.max(~same).alias("__goes"), F.count(F.lit(1)).alias("c"))
-    actions = written(actions.filter("__goes or c > 1").select("__aid", "__ath", "__goes", F.xxhash64("__aid", "__ath").alias("__akey")))
+    actions = kept(actions.filter("__goes or c > 1").select("__aid", "__ath", "__goes", F.xxhash64("__aid", "__ath").alias("__akey")))
     log2 = filter_log2(actions.count(), max_filter_log2)
     columns = docs.columns
     rows = docs.toDF(*(f"__in_{i}" for i in range(len(columns))))

@@ -123,11 +123,10 @@ def test_rules_against_brute_force(spark, docs):
 
 
 def plain_perplexities(texts):
-    """The mean negative log probability of each text's characters by modified Kneser-Ney over folded characters, by dictionaries."""
-    order, base = perplexity.ORDER, perplexity.BASE
-    folded = {i: tuple(int(perplexity.FOLDED[ord(c)]) if ord(c) < 1 << 16 else 4 for c in t) for i, t in texts.items()}
-    pad = (0,) * (order - 1)
-    counts = {order: Counter(s[j : j + order] for t in folded.values() for s in [pad + t + pad] for j in range(len(s) - order + 1))}
+    """The mean negative log probability of each text's characters by modified Kneser-Ney, by dictionaries: texts of one language."""
+    order = perplexity.ORDER
+    pad = "\0" * (order - 1)
+    counts = {order: Counter((pad + t)[j : j + order] for t in texts.values() for j in range(len(t)))}
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     sizes, totals, spare = {}, Counter(), Counter()
@@ -137,20 +136,17 @@ def plain_perplexities(texts):
         y = n1 / (n1 + 2 * n2)
         sizes[k] = [min(max(x, 0.05), most) for x, most in zip((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), (0.95, 1.9, 2.9), strict=True)]
         for g, n in found.items():
-            totals[g[:-1]] += n
-            spare[g[:-1]] += sizes[k][min(n, 3) - 1]
+            totals[k, g[:-1]] += n
+            spare[k, g[:-1]] += sizes[k][min(n, 3) - 1]
 
     @functools.cache
     def p(g):
         if not g:
-            return 1 / base
-        below = p(g[1:])
-        if not totals[g[:-1]]:
-            return below
-        n = counts[len(g)][g]
-        return ((n - sizes[len(g)][min(n, 3) - 1]) / totals[g[:-1]] if n else 0) + spare[g[:-1]] / totals[g[:-1]] * below
+            return 1 / len(counts[1])
+        k, n = len(g), counts[len(g)][g]
+        return (n - sizes[k][min(n, 3) - 1] + spare[k, g[:-1]] * p(g[1:])) / totals[k, g[:-1]]
 
-    return {i: -sum(math.log(p((pad + t)[j : j + order])) for j in range(len(t))) / len(t) for i, t in folded.items() if t}
+    return {i: -sum(math.log(p((pad + t)[j : j + order])) for j in range(len(t))) / len(t) for i, t in texts.items() if t}
 
 
 def plain_bands(values, prior=20, width=3):
@@ -164,7 +160,9 @@ def plain_bands(values, prior=20, width=3):
 
 def test_bands_against_brute_force(spark, docs):
     found = queries.op2_quality_rules(spark, DATA).toPandas().set_index("doc_id")
-    plain = plain_perplexities(dict(zip(docs.doc_id, docs.text, strict=True)))
+    plain = {}
+    for _, own in docs.groupby("lang"):
+        plain |= plain_perplexities(dict(zip(own.doc_id, own.text, strict=True)))
     langs, lowest = dict(zip(docs.doc_id, docs.lang, strict=True)), {}
     lower = {i: t.translate({c: c + 32 for c in range(65, 91)}) for i, t in zip(docs.doc_id, docs.text, strict=True)}
     for i, row in found.iterrows():
@@ -196,12 +194,11 @@ def test_copies_leave_the_bands(spark):
     random.seed(4)
     vocabulary = ["".join(random.choice("abcdefghij") for _ in range(random.randint(2, 9))) for _ in range(300)]
     texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(60, 120))) for _ in range(40)]
-    model = perplexity.fitted(spark.createDataFrame([(t,) for t in texts], "text string"))
-    shared = spark.sparkContext.broadcast(model)
+    model = perplexity.fitted(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"))
 
     def limits(made):
         df = spark.createDataFrame([("en", t) for t in made], "lang string, text string")
-        metrics = quality_rules.scored(df, shared, ["lang"]).withColumn("base_failed", F.lit(False))
+        metrics = quality_rules.scored(df, model, ["lang"]).withColumn("base_failed", F.lit(False))
         return quality_rules.bands(metrics, "__in_0", 20.0, 3.0).collect()
 
     plain = limits(texts)
@@ -210,6 +207,30 @@ def test_copies_leave_the_bands(spark):
     assert limits(texts + copies * 100) == limits(texts + copies)
 
 
+def test_rules_do_not_depend_on_partitions_or_shards(spark):
+    """Equal verdicts and equal scores, to the last bit, under other partitions and with a model in many shards."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").union(spark.createDataFrame([(9001, "ééé 日本語 ääää" * 20, None, "s", 1), (9002, None, "en", "s", 0), (9003, "", "xx", "s", 0), (9003, "", "xx", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    one, other = (quality_rules.quality_rules(docs.repartition(n), shard=size).drop("text").toPandas() for n, size in ((1, perplexity.SHARD), (29, 4000)))
+    key = ["doc_id", "n_words"]
+    pd.testing.assert_frame_equal(one.sort_values(key, ignore_index=True), other.sort_values(key, ignore_index=True))
+
+
+def test_long_texts_in_slices(spark, monkeypatch):
+    """Pieces and hashed words give what a whole text gives."""
+    random.seed(8)
+    texts = ["".join(random.choice("abc \n#") for _ in range(n)) for n in (0, 3, 5000, 20_000)]
+    langs = ["=en"] * 4
+    shard = (np.sort(np.unique(np.concatenate([perplexity.hashes_of(perplexity.points_of(perplexity.EDGES + t), perplexity.seed_of("=en")) for t in texts]))), None)
+    shard = (shard[0], np.arange(len(shard[0]), dtype=np.int32))
+    whole, counted = perplexity.costs(langs, texts, shard), [quality_rules.counts(t) for t in texts]
+    assert whole[1].tolist() == [len(t) for t in texts]
+    monkeypatch.setattr(perplexity, "SLICE", 700)
+    monkeypatch.setattr(perplexity.pieces_of, "__defaults__", (700,))
+    monkeypatch.setattr(quality_rules, "LONG", 100)
+    sliced = perplexity.costs(langs, texts, shard)
+    assert all((a == b).all() for a, b in zip(whole, sliced, strict=True)) and counted == [quality_rules.counts(t) for t in texts]
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.75), ("op3_quality_classifier", "quality", 0.9)])
 def test_held_out_ranking(spark, name, label, least):
     folder = DATA.replace("0.001", "0.01")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import bisect
-import itertools
+import functools
+import random
 import re
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import arrow_map, col
-from palimpsest.llm.sequence_tagger import KINDS, WINDOW, Tagger, classes_of
+from palimpsest.llm.sequence_tagger import KINDS, Tagger, classes_of
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -21,7 +21,7 @@ _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_trigger = re.compile(r"[0-9@]")
+_digit = re.compile(r"[0-9]")
 _not_digit = re.compile(r"[^0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -44,7 +44,7 @@ def base_spans(text: str) -> list[Span]:
             last = match.end()
             found.append((start, 0, last))
         at = text.find("@", max(at + 1, last))
-    if _trigger.search(text):
+    if _digit.search(text):
         for m in _ip.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
                 found.append((m.start(), 1, m.end()))
@@ -60,146 +60,210 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the tagger ---
 
-
-def labelled_windows(n: int = 1400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of invented text with labelled spans: words, numbers, dates and codes around data of the four kinds."""
-    r = np.random.default_rng(seed)
-    letters = list("abcdefghijklmnopqrstuvwxyzeeeaaiioutnrsl") + ["é", "ü", "ñ", "ß", "ê"]
-    digits = lambda k: "".join(map(str, r.integers(0, 10, k)))
-    word = lambda: "".join(r.choice(letters, r.integers(1, 11)))
-    plain = lambda: "".join(r.choice(list("abcdefghijklmnoprstuvwxyz"), r.integers(1, 9)))
-
-    def filler() -> str:
-        k = r.integers(0, 24)
-        w = word()
-        odd = {
-            0: digits(r.integers(1, 8)), 1: f"{digits(1)}.{digits(1)}.", 2: f"{r.integers(1900, 2030)}-{r.integers(10, 13)}-{r.integers(10, 29)}",
-            3: f"{r.integers(1, 13)}/{r.integers(1, 29)}/{r.integers(1990, 2030)}", 4: f"{r.integers(0, 24)}:{digits(2)}", 5: f"{digits(2)}.{digits(2)}", 6: f"v{digits(1)}.{digits(1)}.{digits(2)}",
-            7: "#" + "".join(r.choice(list("0123456789abcdef"), 12)), 8: "|", 9: f"@{plain()}", 10: f"{digits(3)},{digits(3)}", 11: "\"" + "".join(r.choice(list("ABCDEF0123456789"), 16)) + "\"", 12: f"{digits(r.integers(20, 30))}",
-        }.get(int(k))
-        return odd if odd else w.capitalize() + r.choice(["", ",", "."]) if r.random() < 0.2 else w + r.choice(["", "", "", ",", ".", "!", "***"])
-
-    def datum(kind: int) -> str:
+# Common words of four languages, which the invented texts are mixed with.
+_COMMON = (
+    "the of and to in a is that it for on was at as with by from be or this which an dot point slash not are have had were they you he she we his her all one call mail write contact phone card "
+    "de la le et les des en un une que pour dans qui au sur est par avec point arobase ce il elle el los las y con del se una por su como punto arroba más no "
+    "der die das und zu den mit von ist auf für ein eine nicht im dem sich punkt telefon karte bei"
+).split()
+
+
+class Inventor:
+    """Invents texts around data of the four kinds, in forms that the base patterns find and in forms that they miss."""
+
+    def __init__(self, seed: int) -> None:
+        self.r = random.Random(seed)
+
+    def pick(self, *of):  # noqa: ANN002, ANN201
+        return of[int(self.r.random() * len(of))]
+
+    def number(self, low: int, high: int) -> int:
+        return low + int(self.r.random() * (high + 1 - low))
+
+    def digits(self, low: int, high: int | None = None) -> str:
+        n = self.number(low, high or low)
+        return f"{int(self.r.random() * 10**n):0{n}}" if n < 16 else self.digits(15) + self.digits(n - 15)
+
+    def word(self, low: int = 1, high: int = 11, letters: str = "abcdefghijklmnopqrstuvwxyzeeeaaiioutnrslhd") -> str:
+        return "".join(self.r.choices(letters, k=self.number(low, high)))
+
+    def name(self, accents: float = 0.0) -> str:
+        """A name as it is in an address: with accents, it is one that the base pattern misses or cuts."""
+        w = self.word(3, 9)
+        if self.r.random() < accents:
+            at = self.number(0, len(w) - 1)
+            w = w[:at] + self.pick("é", "ü", "ñ", "ö", "ä", "ç", "ø", "ß", "è") + w[at + 1 :]
+        return w
+
+    def filler(self, words: bool = False) -> str:
+        r = self.r.random() * (0.86 if words else 1.0)
+        if r < 0.42:
+            return self.pick(*_COMMON)
+        if r < 0.86:
+            w = self.word(1, 12, "abcdefghijklmnopqrstuvwxyzeeeaaiioutnrslhdéüñßêçöäóíè" if self.r.random() < 0.4 else "abcdefghijklmnopqrstuvwxyzeeeaaiioutnrslhd")
+            w = w.capitalize() if self.r.random() < 0.15 else w.upper() if self.r.random() < 0.03 else w
+            return w + self.pick("", "", "", "", ",", ".", "!", "?", ";", "***", "$$$", "###", "%%%", "&&&", ".###", ",%%%")
+        year, month, day = self.number(1900, 2040), self.number(1, 12), self.number(1, 28)
+        return self.pick(
+            lambda: " ".join([self.word(1, 6).capitalize() + self.pick("", ".", ",")] * self.number(2, 20)), lambda: " ".join([self.word(1, 9) + self.pick("", ".")] * self.number(2, 20)), lambda: self.word(2, 5).upper(), lambda: f"{self.word(2, 3).upper()}-{self.word(2, 3).upper()} {self.digits(1)}.0.", lambda: f"the {self.word(2, 4).upper()} {self.word(3, 8).capitalize()}.",
+            lambda: self.digits(1, 7), lambda: f"{self.digits(1)}.{self.digits(1)}.", lambda: f"{year}-{month:02}-{day:02}", lambda: f"{month}/{day}/{year}", lambda: f"{day}.{month}.{year}", lambda: f"{day:02}:{month:02}",
+            lambda: f"{self.digits(1, 3)}.{self.digits(1, 2)}", lambda: f"v{self.digits(1)}.{self.digits(1)}.{self.digits(1, 2)}", lambda: "#" + self.word(6, 12, "0123456789abcdef"), lambda: "|", lambda: f"@{self.word(3, 9)}",
+            lambda: f"{self.digits(1, 3)},{self.digits(3)}", lambda: f'token = "{self.word(30, 40, "0123456789abcdef")}"', lambda: self.digits(22, 30), lambda: f"{self.digits(1, 2)}%", lambda: f"${self.digits(1, 4)}", lambda: f"{year}-{year + 1}",
+            lambda: f"https://{self.word(3, 9)}.com/{self.word(2, 8)}", lambda: f"({self.digits(1, 2)})", lambda: f"{self.digits(2)} x {self.digits(2)}", lambda: f"{self.word(2, 6)}{self.digits(1, 3)}", lambda: "Version 2.0",
+            lambda: f"{self.word(2, 7)} at {self.word(3, 8)}", lambda: f"{self.word(2, 7)} dot {self.word(3, 8)}", lambda: f"({self.word(2, 7)})", lambda: f"[{self.word(2, 7)}]", lambda: f"{self.digits(3)}-{self.digits(1, 2)}",
+        )()
+
+    def datum(self, kind: int, missed: bool) -> str:
+        """Data of a kind; missed: in a form that the base patterns do not find whole."""
+        p, d = self.pick, self.digits
         if kind == 0:
-            return plain() + r.choice(["", ".", "_", "-"]) + r.choice([plain(), digits(2)]) + "@" + plain() + r.choice(["", digits(1)]) + "." + r.choice(["example.com", "com", "org", "co.uk", "net", "de"])
+            ends = p("com", "org", "net", "de", "co.uk", "example.com", "fr", "es", "edu", "io")
+            accents = 0.0
+            at, dot = "@", "."
+            if missed:
+                at, dot = p((" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" @ ", "."), (" @ ", " . "), ("＠", "."), ("@", "."), (" {at} ", " {dot} "), ("@ ", "."), (" @", "."))
+                accents = 1.0 if (at, dot) == ("@", ".") else 0.15
+            local = self.name(accents) + p("", "", ".", "_", "-") + p("", self.name(), d(1, 3))
+            return local.rstrip("._-") + at + self.name(0.3 if accents else 0.0) + p("", "", d(1)) + dot + ends.replace(".", dot)
         if kind == 1:
-            return ".".join(str(x) for x in r.integers(0, 256, 4))
+            dot = p(" . ", "[.]", "(.)", "[dot]", " dot ", ". ") if missed else "."
+            return dot.join(str(self.number(0, 255)) for _ in range(4))
         if kind == 2:
-            d = digits(r.choice([13, 15, 16, 16, 16, 19]))
-            cut = r.choice(["", "", " ", "-"])
-            return cut.join(d[i : i + 4] for i in range(0, len(d), 4)) if cut else d
-        a, b, c = digits(3), digits(3), digits(4)
-        return r.choice([f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(2)}{a}{b}{c}", f"{a}.{b}.{c}"])
-
-    x, y = np.zeros((n, WINDOW), np.uint8), np.zeros((n, WINDOW), np.int64)
+            n = int(p(13, 15, 16, 16, 16, 16, 19))
+            digits = d(n)
+            if missed and self.r.random() < 0.15:
+                digits = "".join(chr(0xFF10 + int(c)) for c in digits)
+            gap = "" if n == 13 else p(".", "/", "_", "  ", " ", "–", " - ", " ", "", ":") if missed else p("", "", " ", "-")
+            sizes = [4, 6, 5] if n == 15 else [4] * 4 + [3]
+            parts, at = [], 0
+            for size in sizes:
+                parts.append(digits[at : at + size])
+                at += size
+            return gap.join(x for x in parts if x)
+        a, b, c = d(3), d(3), d(4)
+        if not missed:
+            return p(f"+{d(1)} ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}", f"+{d(2)}{a}{b}{c}", f"+{d(1, 2)}-{a}-{b}-{c}", f"+{d(2)} {d(2, 4)} {d(6, 7)}")
+        gap = p(" ", "–", "/", " ", "‑")
+        return p(
+            f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}", f"00{d(2)} {d(2)} {d(3)} {d(2)} {d(2)}",
+            f"+{d(2)}{gap}{a}{gap}{b}{gap}{c}", f"＋{d(2)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"{a}/{b}-{c}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"({a}){b}-{c}",
+        )
+
+    def text(self, pieces: int, rate: float, missed: float = 0.7) -> tuple[str, list[Span]]:
+        """A text of so many pieces with its spans; `rate` of the pieces are data."""
+        out, spans, size, after = [], [], 0, False
+        for _ in range(pieces):
+            if not after and self.r.random() < rate:
+                kind = self.pick(0, 1, 2, 2, 3)  # a card's digits are the hardest to count
+                lead, piece = self.filler(True) + " ", self.datum(kind, self.r.random() < missed)
+                spans.append((size + len(lead), kind, size + len(lead) + len(piece)))
+                piece, gap, after = lead + piece, self.pick(" ", " ", " ", ", ", ". ", ".\n", "; ", "\n", " | ", "### ", "*** "), True
+            else:
+                piece, gap, after = self.filler(after), self.pick(" ", " ", " ", " ", " ", " ", "\n", " | "), False
+            out += [piece, gap]
+            size += len(piece) + len(gap)
+        return "".join(out), spans
+
+
+def labelled_windows(n: int = 6400, size: int = 96, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of invented texts with labelled spans: character classes and tags."""
+    inventor = Inventor(seed)
+    x, y = np.zeros((n, size), np.uint8), np.zeros((n, size), np.int64)
     for i in range(n):
-        text, tags = "", []
-        at = r.integers(0, 5)
-        for k in range(20):
-            kind = int(r.integers(0, 4)) if k == at or r.random() < 0.04 else None
-            piece = filler() if kind is None else datum(kind)
-            tags += [0] * len(piece) if kind is None else [1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1)
-            text += piece
-            gap = r.choice([" ", " ", " ", "\n", " | "]) if kind is None else r.choice([" ", " ", ", ", ".\n"])
-            text += gap
-            tags += [0] * len(gap)
-        cut = int(r.integers(0, 8)) if r.random() < 0.3 else 0
-        x[i], y[i] = classes_of(text[cut : cut + WINDOW]), tags[cut : cut + WINDOW]
+        text, spans = inventor.text(30, inventor.pick(0.0, 0.0, 0.1, 0.2, 0.2))
+        tags = np.zeros(len(text), np.int64)
+        for s, kind, e in spans:
+            tags[s:e] = 2 + 2 * kind
+            tags[s] = 1 + 2 * kind
+        start = inventor.number(0, max(0, len(text) - size))
+        part = classes_of(text[start : start + size])
+        x[i, : len(part)], y[i, : len(part)] = part, tags[start : start + size]
     return x, y
 
 
-def regions(text: str, around: int = 24) -> list[tuple[int, int]]:
-    """Where data of the four kinds can be: around digits and at signs, without one of which there is none. Overlaps are one region."""
-    out: list[tuple[int, int]] = []
-    for m in _trigger.finditer(text):
-        a, b = max(0, m.start() - around), min(len(text), m.end() + around)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+@functools.cache
+def trained() -> Tagger:
+    """The tagger, trained once in a process from invented labelled windows of a fixed number and seed."""
+    return Tagger().fit(*labelled_windows())
 
 
-def added_spans(text: str, base: list[Span], tagger: Tagger) -> list[Span]:
-    """The tagger's spans that pass the kind's own check and overlap no base span."""
-    found: list[Span] = []
-    where = regions(text)
-    if not where:
-        return found
-    for a, _, tags in tagger.tags(text, where):
-        edges = np.flatnonzero(np.diff(np.where(tags > 0, (tags + 1) // 2, 0), prepend=0, append=0))
-        starts = np.flatnonzero(tags % 2 == 1)
-        cuts = sorted({*edges.tolist(), *starts.tolist()})
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if tags[s] > 0:
-                found.append(_trimmed(text, a + s, int(tags[s] + 1) // 2 - 1, a + e))
-    # The base spans' starts in order, and how far the ones up to each reach.
-    starts, reach = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
-    return [x for x in found if _plausible(text, *x) and not ((k := bisect.bisect_left(starts, x[2])) and reach[k - 1] > x[0])]
+# How many digits the data of a kind have (as the base rules ask), and how many runs of letters and digits.
+_DIGITS = ((0, 99), (4, 12), (12, 19), (9, 15))
+_RUNS = ((3, 99), (4, 7), (1, 99), (1, 99))
+_EDGE = " \n\t\r  .,;:|!?\"'*#$%&<>="
+_run = re.compile(r"[^\W_]+")
+
+
+def _sized(text: str, start: int, kind: int, end: int) -> bool:
+    piece = text[start:end]
+    return _DIGITS[kind][0] <= sum(map(str.isdecimal, piece)) <= _DIGITS[kind][1] and _RUNS[kind][0] <= len(_run.findall(piece)) <= _RUNS[kind][1]
+
+
+def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
+    """The tagger's spans of each text, trimmed of surrounding marks, of a size that data of the kind can have. One whose letters and digits base spans cover adds nothing."""
+    out = []
+    for text, known, stretches in zip(texts, base, tagger.tags(texts), strict=True):
+        found: list[Span] = []
+        for at, tags in stretches:
+            kinds = np.where(tags > 0, (tags + 1) // 2, 0)
+            cuts = np.flatnonzero((np.diff(kinds, prepend=0) != 0) | (tags % 2 == 1)).tolist() + [len(tags)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if kinds[s]:
+                    found.append(_trimmed(text, at + s, int(kinds[s]) - 1, at + e))
+        covered = {i for s, _, e in known for i in range(s, e)} if known and found else ()
+        out.append([x for x in found if _sized(text, *x) and any(c.isalnum() and i not in covered for i, c in enumerate(text[x[0] : x[2]], x[0]))])
+    return out
 
 
 def _trimmed(text: str, start: int, kind: int, end: int) -> Span:
-    while end > start and text[end - 1] in " \n\t.,;:|!?\"'*":
+    while end > start and text[end - 1] in _EDGE:
         end -= 1
-    while start < end and text[start] in " \n\t.,;:|!?\"'*":
+    while start < end and text[start] in _EDGE:
         start += 1
     return start, kind, end
 
 
-_phone_shape = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
+def all_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int, bool]]]:
+    """Start, kind, end and whether it is a base span, by start, then kind, of all spans of each text."""
+    base = [base_spans(t) for t in texts]
+    return [sorted({(*s, True) for s in known} | {(*s, False) for s in more}) for known, more in zip(base, added_spans(texts, base, tagger), strict=True)]
 
 
-def _plausible(text: str, start: int, kind: int, end: int) -> bool:
-    if end <= start or (start and text[start - 1].isalnum()) or text[end : end + 1].isalnum():
-        return False
-    piece = text[start:end]
-    digits = _not_digit.sub("", piece)
-    if kind == 0:
-        return bool(re.fullmatch(r"[^\s@]+ ?@ ?[^\s@]+\.[^\s@.]{2,}", piece))
-    if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}", piece)) and all(int(p) <= 255 for p in re.findall("[0-9]+", piece))
-    if kind == 2:
-        return 12 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 .-]", piece)
-    return 9 <= len(digits) <= 15 and bool(_phone_shape.fullmatch(piece))
+def masked_text(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
+    """A text with each span replaced by its kind in brackets. Spans that overlap are one, with the kinds of all."""
+    pieces, last, i = [], 0, 0
+    while i < len(spans):
+        start, _, end, _ = spans[i]
+        kinds = []
+        while i < len(spans) and (spans[i][0] < end or spans[i][0] == start):
+            kinds.append(KINDS[spans[i][1]])
+            end = max(end, spans[i][2])
+            i += 1
+        pieces += [text[last:start], f"[{'/'.join(dict.fromkeys(kinds))}]"]
+        last = end
+    return "".join([*pieces, text[last:]])
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", masked: bool = False) -> DataFrame:
     """id and spans, an array of (kind, start, end, base) by start, then kind; ends are exclusive, in code points.
 
-    The tagger is trained once, on the driver, from invented labelled windows of a fixed number; every text is
-    searched whole. Null or empty text: no spans. Empty table: no rows. Other columns of docs are not carried.
+    Every character of every text is decoded, in overlapping windows and one search through the text. masked: a column
+    masked_text as well, made in the same pass, in which no character of a span is left.
+
+    Null or empty text: no spans, an empty masked text. Repeated rows and null ids: a row each, as the row is. A very
+    long text is decoded some windows at a time. Empty table: no rows. Other columns of docs are not carried, so their
+    names do not matter.
     """
-    tagger = docs.sparkSession.sparkContext.broadcast(Tagger().fit(*labelled_windows()))
+    tagger = docs.sparkSession.sparkContext.broadcast(trained())
     rows = docs.select(col(id_col), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("__text"))
 
     def run(texts: list) -> tuple:
-        out = []
-        for text in texts:
-            base = base_spans(text)
-            spans = sorted({(*s, True) for s in base} | {(*s, False) for s in added_spans(text, base, tagger.value)})
-            out.append([{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in spans])
-        return (out,)
-
-    return arrow_map(rows, run, [("spans", T.ArrayType(SPAN))])
-
-
-def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and text with each span replaced by its kind in brackets; of overlapping spans the first to start counts."""
-    found = personal_data(docs.select(col(id_col), col(text_col)), id_col, text_col)
-    rows = docs.select(col(id_col), col(text_col).alias("__text")).join(found, id_col)
-
-    def run(texts: list, spans: list) -> tuple:
-        out = []
-        for text, own in zip(texts, spans, strict=True):
-            pieces, last = [], 0
-            for s in own:
-                if s["start"] >= last:
-                    pieces += [text[last : s["start"]], f"[{s['kind']}]"]
-                    last = s["end"]
-            out.append("".join([*pieces, (text or "")[last:]]))
-        return (out,)
-
-    return arrow_map(rows.select(col(id_col), "__text", "spans"), run, [("text", T.StringType())])
+        spans = all_spans(texts, tagger.value)
+        out = [[{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in own] for own in spans]
+        return (out, [masked_text(t, s) for t, s in zip(texts, spans, strict=True)]) if masked else (out,)
+
+    fields = [("spans", T.ArrayType(SPAN)), ("masked_text", T.StringType())]
+    return arrow_map(rows, run, fields if masked else fields[:1], at_once=1 << 19)

@@ -42,7 +42,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
     counts = [_count_of(kind) for kind in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
 
 
 def _count_of(kind: str):  # noqa: ANN202

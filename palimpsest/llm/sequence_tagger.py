@@ -1,36 +1,50 @@
-"""A bidirectional LSTM over characters with CRF transitions, trained and decoded in numpy on windows of one length."""
+"""A bidirectional LSTM over characters with CRF transitions, in numpy: trained on windows, decoded over whole texts.
+
+A text is covered by overlapping windows whose places depend on the text alone. Each character takes its scores from the
+window in which it lies deepest; one Viterbi search then goes through the whole text. Where no stretch of other tags can
+gain on "outside", that is on the best path for certain, so the search need only visit the stretches between such
+characters; the result is that of a search through every character.
+"""
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tag 0 is outside; kind k begins with 1 + 2k and goes on with 2 + 2k.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, STEP = 64, 32
-_MARKS = " \n\t.@+-()_%:/#,;|=!?\"'*&<>[]"
+#: Characters of a window, and how many of them the next one repeats.
+WINDOW, OVERLAP = 256, 64
+_MARKS = " \n\t.@+-()_%:/#,;|=!?\"'*&<>[]{}"
+# Marks in other scripts or widths, and the ASCII ones that they stand for.
+_ALIKE = {"\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-", "\uff0d": "-", "\uff20": "@", "\ufe6b": "@", "\uff0b": "+", "\uff0e": ".", "\u2024": ".", "\u3002": "."}
+N_CLASSES = 5 + 26 + len(_MARKS)
 
 
+@functools.cache
 def _classes() -> np.ndarray:
-    """Character classes: 0 beyond the text, digits, capitals, each small letter, other letters, each mark, the rest."""
-    table = np.full(0x250, 4, np.uint8)
-    for i in range(0x250):
-        if chr(i).isalpha():
+    """Classes of the code points below 65536: 0 beyond the text, digits of any script, capitals, other letters, the rest, each small letter, each mark."""
+    table = np.full(1 << 16, 4, np.uint8)
+    for i in range(1 << 16):
+        c = chr(i)
+        if unicodedata.decimal(c, None) is not None:
+            table[i] = 1
+        elif c.isalpha():
             table[i] = 3
-    table[ord("0") : ord("9") + 1] = 1
     table[ord("A") : ord("Z") + 1] = 2
     for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + _MARKS):
         table[ord(c)] = 5 + i
+    for c, alike in _ALIKE.items():
+        table[ord(c)] = table[ord(alike)]
     return table
 
 
-CLASSES = _classes()
-N_CLASSES = 5 + 26 + len(_MARKS)
-
-
 def classes_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < len(CLASSES), CLASSES[np.minimum(points, len(CLASSES) - 1)], 3).astype(np.uint8)
+    return _classes()[np.where(points < 1 << 16, points, 0xFFFD)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -38,7 +52,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, embed: int = 12, hidden: int = 20, seed: int = 5) -> None:
+    def __init__(self, embed: int = 8, hidden: int = 14, seed: int = 5) -> None:
         r = np.random.default_rng(seed)
         self.hidden = hidden
         self.p = {
@@ -46,7 +60,6 @@ class Tagger:
             "out": r.normal(0, 0.2, (2 * hidden, TAGS)),
             "out_b": np.zeros(TAGS),
             "trans": np.zeros((TAGS, TAGS)),
-            "start": np.zeros(TAGS),
         }
         for side in "fb":
             self.p[f"w{side}"] = r.normal(0, 1 / np.sqrt(embed + hidden), (embed + hidden, 4 * hidden))
@@ -95,32 +108,34 @@ class Tagger:
     def loss_and_grads(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         scores, (both, saved_f, saved_b) = self.emissions(x)
         time, n = scores.shape[:2]
-        trans, rows = self.p["trans"], np.arange(n)
-        alpha = np.empty((time, n, TAGS), np.float64)
-        alpha[0] = scores[0] + self.p["start"]
-        for t in range(1, time):
-            alpha[t] = _log_sum(alpha[t - 1][:, :, None] + trans, 1) + scores[t]
-        beta = np.zeros((time, n, TAGS))
-        for t in range(time - 2, -1, -1):
-            beta[t] = _log_sum(trans + (scores[t + 1] + beta[t + 1])[:, None, :], 2)
-        whole = _log_sum(alpha[-1], 1)
-        marginal = np.exp(alpha + beta - whole[None, :, None])
-        gold, grads = np.zeros(n), {k: np.zeros_like(v) for k, v in self.p.items()}
-        d = marginal.copy()
         yt = y.T
+        top = scores.max(2, keepdims=True)
+        here, step = np.exp((scores - top).astype(np.float64)), np.exp(self.p["trans"].astype(np.float64))
+        # Forward and backward sums, each place scaled to a sum of 1; what is before and after a window counts as outside.
+        ahead, scale, behind = np.empty_like(here), np.empty((time, n, 1)), np.empty_like(here)
+        now = step[0] * here[0]
         for t in range(time):
-            d[t, rows, yt[t]] -= 1
-            gold += scores[t, rows, yt[t]]
-        for t in range(1, time):
-            pair = np.exp(alpha[t - 1][:, :, None] + trans + (scores[t] + beta[t])[:, None, :] - whole[:, None, None])
-            grads["trans"] += pair.sum(0).astype(np.float32)
-            np.add.at(grads["trans"], (yt[t - 1], yt[t]), -1)
-            gold += trans[yt[t - 1], yt[t]]
-        grads["start"] += d[0].sum(0).astype(np.float32)
-        gold += self.p["start"][yt[0]]
+            if t:
+                now = (now @ step) * here[t]
+            scale[t] = now.sum(1, keepdims=True)
+            now = ahead[t] = now / scale[t]
+        behind[-1] = step[:, 0]
+        for t in range(time - 2, -1, -1):
+            behind[t] = (behind[t + 1] * here[t + 1] / scale[t + 1]) @ step.T
+        total = (ahead[-1] @ step[:, 0])[:, None]
+        whole = (np.log(scale) + top).sum(0)[:, 0] + np.log(total[:, 0])
+        d = ahead * behind / total
+        pairs = step * np.tensordot(ahead[:-1] / total, here[1:] * behind[1:] / scale[1:], ((0, 1), (0, 1)))
+        pairs[0] += d[0].sum(0)
+        pairs[:, 0] += d[-1].sum(0)
+        padded = np.concatenate([np.zeros((1, n), yt.dtype), yt, np.zeros((1, n), yt.dtype)])
+        np.add.at(pairs, (padded[:-1].ravel(), padded[1:].ravel()), -1)
+        gold = np.take_along_axis(scores, yt[:, :, None], 2)[:, :, 0].sum(0) + self.p["trans"][padded[:-1], padded[1:]].sum(0)
+        np.put_along_axis(d, yt[:, :, None], np.take_along_axis(d, yt[:, :, None], 2) - 1, 2)
+        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+        grads["trans"] = pairs.astype(np.float32)
         d = (d / n).astype(np.float32)
         grads["trans"] /= n
-        grads["start"] /= n
         grads["out"] = np.tensordot(both, d, ((0, 1), (0, 1)))
         grads["out_b"] = d.sum((0, 1))
         states = d @ self.p["out"].T
@@ -129,7 +144,7 @@ class Tagger:
         np.add.at(grads["embed"], x.T, dx)
         return float((whole - gold).mean()), grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 48, rate: float = 0.02, seed: int = 5) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 9, batch: int = 128, rate: float = 0.03, seed: int = 5, bound: float = 2.5) -> Tagger:
         r, m, step = np.random.default_rng(seed), {k: [0.0, 0.0] for k in self.p}, 0
         total = epochs * ((len(x) + batch - 1) // batch)
         for _ in range(epochs):
@@ -142,46 +157,134 @@ class Tagger:
                     g = g * min(1.0, 5 / max(norm, 1e-9))
                     m[k] = [0.9 * m[k][0] + 0.1 * g, 0.99 * m[k][1] + 0.01 * g * g]
                     now = rate * (1 - 0.9 * step / total) * min(1, step / 10)
+                    # Bounded transitions: a lead that is decisive is within reach of the scores.
                     self.p[k] = (self.p[k] - now * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                self.p["trans"] = np.clip(self.p["trans"], -bound, bound)
         return self
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best sequence of tags for each window: window, time."""
-        scores, _ = self.emissions(x)
-        time, n = scores.shape[:2]
-        best, back = scores[0] + self.p["start"], np.empty((time, n, TAGS), np.int8)
-        for t in range(1, time):
-            through = best[:, :, None] + self.p["trans"]
-            back[t] = through.argmax(1)
-            best = through.max(1) + scores[t]
-        tags = np.empty((n, time), np.int8)
-        tags[:, -1] = best.argmax(1)
-        for t in range(time - 1, 0, -1):
-            tags[:, t - 1] = back[t, np.arange(n), tags[:, t]]
-        return tags
-
-    def tags(self, text: str, regions: list[tuple[int, int]], at_once: int = 256) -> list[tuple[int, int, np.ndarray]]:
-        """For each region of the text its tags. Overlapping windows are decoded; a character has the tag of the window in which it lies deepest."""
-        starts = [(i, s) for i, (a, b) in enumerate(regions) for s in range(a, max(a + 1, b - STEP), STEP)]
-        found = [(a, b, np.zeros(b - a, np.int8)) for a, b in regions]
-        depth = [np.full(b - a, -1) for a, b in regions]
-        own = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-        for at in range(0, len(starts), at_once):
-            some = starts[at : at + at_once]
-            x = np.zeros((len(some), WINDOW), np.uint8)
-            for k, (_, s) in enumerate(some):
-                c = classes_of(text[s : s + WINDOW])
-                x[k, : len(c)] = c
-            for (i, s), tags in zip(some, self.decode(x), strict=True):
-                a, b, store = found[i]
-                n = min(WINDOW, b - s)
-                here = slice(s - a, s - a + n)
-                deeper = own[:n] > depth[i][here]
-                store[here] = np.where(deeper, tags[:n], store[here])
-                depth[i][here] = np.maximum(depth[i][here], own[:n])
-        return found
-
-
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
+    # --- decoding ---
+
+    def _side(self, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For decoding: embeddings with a constant, weights of gates by embedding and state, output weights; features come first, and gates are halved where a sigmoid is made from a tanh."""
+        n, embed = self.hidden, self.p["embed"]
+        half = np.ones(4 * n, np.float32)
+        half[: 3 * n] = 0.5
+        w = np.concatenate([self.p[f"w{side}"][: embed.shape[1]], self.p[f"b{side}"][None], self.p[f"w{side}"][embed.shape[1] :]]) * half
+        out = self.p["out"][:n] if side == "f" else self.p["out"][n:]
+        return np.ascontiguousarray(np.concatenate([embed, np.ones((len(embed), 1), np.float32)], 1).T), np.ascontiguousarray(w.T), np.ascontiguousarray(out.T)
+
+    def _pass(self, x: np.ndarray, active: np.ndarray, side: str) -> np.ndarray:
+        """What one direction adds to the scores: time, tag, window. x: time, window."""
+        embed, weights, out = self._side(side)
+        n, e = self.hidden, len(embed)
+        scores = np.zeros((len(x), TAGS, x.shape[1]), np.float32)
+        joined, c = np.zeros((e + n, x.shape[1]), np.float32), np.zeros((n, x.shape[1]), np.float32)
+        for t, k in enumerate(active):
+            if k < joined.shape[1]:  # windows that end are the last ones
+                joined, c = np.ascontiguousarray(joined[:, :k]), np.ascontiguousarray(c[:, :k])
+            np.take(embed, x[t, :k], axis=1, out=joined[:e], mode="clip")
+            z = weights @ joined
+            np.tanh(z, out=z)
+            gates = z[: 3 * n]
+            gates *= 0.5
+            gates += 0.5
+            c *= gates[n : 2 * n]
+            gates[:n] *= z[3 * n :]
+            c += gates[:n]
+            np.tanh(c, out=joined[e:])
+            joined[e:] *= gates[2 * n :]
+            scores[t, :, :k] = out @ joined[e:]
+        return scores
+
+    def window_scores(self, windows: list[np.ndarray]) -> np.ndarray:
+        """Scores of the tags for each character of windows, of which none is longer than the one before: time, tag, window."""
+        lengths = np.array([len(w) for w in windows])
+        time, full = int(lengths[0]), int((lengths == lengths[0]).sum())
+        active = np.searchsorted(-lengths, -np.arange(time), side="left")  # windows that are longer than t
+        x = np.zeros((len(windows), time), np.intp)
+        for k, w in enumerate(windows):
+            x[k, : len(w)] = w
+        scores = self._pass(np.ascontiguousarray(x.T), active, "f")
+        scores += self.p["out_b"][None, :, None]
+        for k, w in enumerate(windows):
+            x[k, : len(w)] = w[::-1]
+        back = self._pass(np.ascontiguousarray(x.T), active, "b")
+        scores[:, :, :full] += back[::-1, :, :full]
+        for k in range(full, len(windows)):
+            scores[: lengths[k], :, k] += back[: lengths[k], :, k][::-1]
+        return scores
+
+    def undecided(self, scores: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which characters of texts (scores: character, tag; ends: behind each text) may have another tag than 0 on the best path.
+
+        A stretch of other tags gains, against tag 0 throughout, at most what entering and leaving it gain and, for each
+        character, its best tag's lead over tag 0 and the best transition's. A character is decided if no stretch around
+        it can gain; the best stretch that ends or begins at a character comes from running sums and their extremes.
+        """
+        t = self.p["trans"].astype(np.float64) - float(self.p["trans"][0, 0])
+        inner, edges = float(t[1:, 1:].max()), float(t[0, 1:].max() + t[1:, 0].max())
+        gain = (scores[:, 1:].max(1) - scores[:, 0]).astype(np.float64) + inner
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        most = np.empty(len(gain))
+        for s, e in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            before = np.minimum.accumulate(sums[s:e])  # the least sum before each character, itself excluded
+            behind = np.maximum.accumulate(sums[s + 1 : e + 1][::-1])[::-1]
+            most[s:e] = behind - before
+        return most + edges - inner > -1e-3  # a stretch has one inner transition less than characters
+
+    def tags(self, texts: list[str], at_once: int = 1024) -> list[list[tuple[int, np.ndarray]]]:
+        """For each text the stretches (start, tags) that hold all tags other than 0 on its best path."""
+        windows = []  # length, text, start, first and last character that is its own
+        for i, text in enumerate(texts):
+            starts = range(0, max(1, len(text) - OVERLAP), WINDOW - OVERLAP) if text else ()
+            for s in starts:
+                end = min(len(text), s + WINDOW)
+                windows.append((end - s, i, s, s + OVERLAP // 2 if s else 0, end if end == len(text) else end - OVERLAP // 2))
+        windows.sort(key=lambda w: -w[0])
+        classes = [classes_of(t) for t in texts]
+        ends = np.cumsum([len(t) for t in texts])
+        merged = np.empty((int(ends[-1]) if len(texts) else 0, TAGS), np.float32)
+        for at in range(0, len(windows), at_once):
+            some = windows[at : at + at_once]
+            scores = self.window_scores([classes[i][s : s + n] for n, i, s, _, _ in some])
+            for k, (_, i, s, first, last) in enumerate(some):
+                offset = ends[i] - len(texts[i])
+                merged[offset + first : offset + last] = scores[first - s : last - s, :, k]
+        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
+        place = np.flatnonzero(self.undecided(merged, ends)) if len(merged) else np.zeros(0, np.int64)
+        if not len(place):
+            return out
+        owner = np.searchsorted(ends, place, side="right")
+        cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(place) != 1)) + 1
+        first, last = np.concatenate([[0], cuts]).astype(int), np.concatenate([cuts, [len(place)]]).astype(int)
+        for s, tags in zip(first, self._viterbi(merged[place], first, last), strict=True):
+            i = owner[s]
+            out[i].append((int(place[s] - ends[i] + len(texts[i])), tags))
+        return out
+
+    def _viterbi(self, score: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The best tags of each stretch, tag 0 being before and after it."""
+        order = np.argsort(starts - ends, kind="stable")
+        begin, length = starts[order], (ends - starts)[order]
+        trans = self.p["trans"].astype(np.float64)
+        best, backs, k = score[begin] + trans[0], [], len(begin)
+        final = np.zeros(len(begin), np.int64)
+        for t in range(int(length[0])):
+            still = int(np.searchsorted(-length, -t, side="left"))
+            if t:
+                through = best[:still, :, None] + trans
+                backs.append(through.argmax(1).astype(np.int8))
+                best = through.max(1) + score[begin[:still] + t]
+            done = int(np.searchsorted(-length, -(t + 1), side="left"))
+            final[done:still] = (best[done:still] + trans[:, 0]).argmax(1)
+        tags = [np.empty(n, np.int8) for n in length]
+        for i, n in enumerate(length):
+            tag = final[i]
+            tags[i][n - 1] = tag
+            for t in range(n - 1, 0, -1):
+                tag = backs[t - 1][i, tag]
+                tags[i][t - 1] = tag
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(order)
+        for i, at in enumerate(order):
+            out[at] = tags[i]
+        return out

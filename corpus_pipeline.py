@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.byte_bpe import round_trip
-from palimpsest.llm.common import col, shared_folder, table
+from palimpsest.llm.common import col, table
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.mixing import mixed
 from palimpsest.llm.ngram_join import one_of_each_group
 from palimpsest.llm.quality_rules import quality_rules
+from palimpsest.sources.shared import made, removed, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,10 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
+    """The rows that the last stage leaves. What a stage has written besides its result, and its predecessor's result, are removed once its own is written."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_path(spark, "pipeline")
     for place, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{place}_{name}"
+        before, path = made(), f"{folder}/{place}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        removed(spark, [p for p in made() if p not in before])
+        if place:
+            removed(spark, [f"{folder}/{place - 1}_{STAGES[place - 1][0]}"])
     return docs

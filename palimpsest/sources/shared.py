@@ -7,14 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The paths that this process has made and not removed, oldest first.
+_made: list[str] = []
 
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder is set there only where the session names none."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where the session names none: a temporary one, and only if all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="palimpsest_shared_")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, among those of the application."""
+    path = f"{shared_folder(spark)}/{kind}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialized(df: DataFrame, kind: str = "tables") -> DataFrame:
@@ -22,3 +35,17 @@ def materialized(df: DataFrame, kind: str = "tables") -> DataFrame:
     path = shared_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made() -> list[str]:
+    """The paths made so far; what is made later may be given to `removed` once it is not read any more."""
+    return list(_made)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes paths of the shared folder. Frames that still read them fail, so only whoever has used up such frames may call this."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _made:
+            _made.remove(path)

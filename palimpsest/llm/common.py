@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.sources.shared import materialized
+
 #: A word is a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same six characters, so bytes.split() and WORD agree.
@@ -24,27 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest_shared_")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Cuts the lineage: df is written to the shared folder and read back, so a lost executor costs a reread only.
 
     tidy: the driver collects its garbage, upon which Spark removes the shuffle files of the jobs that have ended; else
     they stay until it happens to.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = materialized(df)
     if tidy:
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def without(df: DataFrame, *names: str) -> list[str]:
@@ -163,23 +152,18 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-_safe = re.compile(r"(?<=[^\s])(?= )")
+# Before a space that follows other characters, or before a mark beyond ASCII that follows a letter.
+_safe = regex.compile(r"(?<=\S)(?= )|(?<=\p{L})(?=[^\s\p{L}\p{N}\x00-\x7F])")
 
 
 def safe_parts(text: str, most: int) -> list[str]:
-    """Parts of about `most` characters, cut before a space that follows a character other than white space.
+    """Parts of about `most` characters, cut where no match of the tokenizers' pattern and no special string can span.
 
-    No match of the tokenizers' pattern spans such a place: a space can only begin a match or follow another
-    white-space character. A text without such places stays whole.
+    A space can only begin a match or follow white space; a run of letters ends before a mark, and special strings are
+    of ASCII marks and letters. A stretch without such places, such as a single word, stays whole.
     """
-    if len(text) <= most:
-        return [text]
     parts, start = [], 0
-    while len(text) - start > most:
-        cut = _safe.search(text, start + most)
-        if cut is None:
-            break
+    while len(text) - start > most and (cut := _safe.search(text, start + most)):
         parts.append(text[start : cut.start()])
         start = cut.start()
-    parts.append(text[start:])
-    return parts
+    return [*parts, text[start:]]

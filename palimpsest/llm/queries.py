@@ -34,7 +34,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=()).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +105,17 @@ targets AS (
       ELSE ((sum(source_size) OVER () - coalesce(sum(CASE WHEN stop THEN cap END) OVER (), 0)) * weight)::DOUBLE / (sum(CASE WHEN NOT stop THEN weight END) OVER ())::DOUBLE END AS target
   FROM stopped),
 rates AS (
-  SELECT sized.doc_id, sized.size, sized.coin, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate
-  FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rates
+  SELECT sized.doc_id, sized.source, sized.size, sized.coin, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate
+  FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source),
+heavy AS (
+  SELECT source, doc_id, coin, rate - floor(rate) AS fraction, max(size) * count(*) AS words FROM rates WHERE size * 1000 > source_size GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY words DESC, coin, doc_id) - 1 AS j,
+    CAST(('0x' || substr(md5(concat_ws('|', '42', coalesce(source, 'null'))), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM heavy),
+extra AS (SELECT source, doc_id, coin, floor(u + fraction * (j + 1)) - floor(u + fraction * j) AS extra FROM placed)
+SELECT r.doc_id, r.size, r.source_size, r.target,
+  (r.size * (floor(r.rate) + coalesce(e.extra, CASE WHEN r.coin < r.rate - floor(r.rate) THEN 1 ELSE 0 END)))::BIGINT AS taken
+FROM rates r LEFT JOIN extra e ON r.source IS NOT DISTINCT FROM e.source AND r.doc_id IS NOT DISTINCT FROM e.doc_id AND r.coin = e.coin
 """
 
 

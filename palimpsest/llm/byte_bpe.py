@@ -60,7 +60,8 @@ def decoded(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, in one pass: each text is encoded, its ids are decoded, both are digested.
 
-    Null text: as empty (no tokens). Empty table: no rows. Other columns of docs are not carried.
+    Null text: as empty (no tokens). Repeated rows and null ids: a row each. A very long text is encoded part by part,
+    and its ids digested as they are decoded. Empty table: no rows. Other columns of docs are not carried.
     """
     path = path or public_tokenizers.path(RANKS)
     rows = docs.select(col(id_col), col(text_col).cast("string").alias("__text"))
@@ -75,9 +76,3 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return out
 
     return arrow_map(rows, digest, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
-
-
-def decoded_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """The digests of round_trip beside the text's own digest, to check that nothing is lost."""
-    own = docs.select(col(id_col), F.sha2(F.coalesce(col(text_col), F.lit("")), 256).alias("text_sha256"))
-    return own.join(round_trip(docs, id_col, text_col, path), id_col)

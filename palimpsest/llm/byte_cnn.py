@@ -1,7 +1,7 @@
 """Quality classifier: a convolutional network over bytes, in numpy.
 
-A filter sees KERNEL bytes every STRIDE bytes; chunks of CHUNK bytes overlap by what a filter sees beyond its step.
-Filters are max-pooled in each chunk; the chunks' mean and maximum make one probability.
+A filter sees the KERNEL bytes at every place; a chunk has the filters' outputs at CHUNK places, so it sees KERNEL - 1
+bytes of the next one. Filters are max-pooled in each chunk; the chunks' mean and maximum make one probability.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import arrow_map, col
 from palimpsest.llm.labelled import held_out, sample
 
-KERNEL, STRIDE, CHUNK = 8, 4, 256
+KERNEL, CHUNK = 8, 256
 FILTERS = 20
+#: Chunks whose filter outputs are held at a time.
+AT_ONCE = 512
 
 
 def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts, each filled up with zeros to whole chunks (four zeros at least), and each one's first chunk."""
+    """The bytes of all texts, each filled up with zeros to whole chunks, so that every filter sees them all, and each one's first chunk."""
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    chunks = np.array([(len(d) + KERNEL - STRIDE + CHUNK - 1) // CHUNK for d in data], np.int64).clip(1)
+    chunks = np.array([(len(d) + KERNEL - 1 + CHUNK - 1) // CHUNK for d in data], np.int64).clip(1)
     joined = b"".join(d.ljust(int(k) * CHUNK, b"\0") for d, k in zip(data, chunks, strict=True)) + bytes(KERNEL)
     return np.frombuffer(joined, np.uint8), np.concatenate([[0], np.cumsum(chunks)])
 
@@ -38,13 +40,18 @@ class ByteCNN:
     offset: float
 
     def chunks(self, data: np.ndarray) -> np.ndarray:
-        """Filter outputs: chunk, place, filter."""
-        n = (len(data) - KERNEL) // STRIDE
+        """Filter outputs of whole chunks and KERNEL bytes behind them: chunk, place, filter."""
+        n = len(data) - KERNEL
         out = np.empty((n, FILTERS), np.float32)
         out[:] = self.bias
         for j in range(KERNEL):
-            out += self.taps[j].take(data[j : j + n * STRIDE : STRIDE], axis=0)
-        return out.reshape(-1, CHUNK // STRIDE, FILTERS)
+            out += self.taps[j].take(data[j : j + n], axis=0)
+        return out.reshape(-1, CHUNK, FILTERS)
+
+    def maxima(self, data: np.ndarray) -> np.ndarray:
+        """The largest output of each filter in each chunk, some chunks at a time."""
+        step = AT_ONCE * CHUNK
+        return np.concatenate([self.chunks(data[at : at + step + KERNEL]).max(1) for at in range(0, len(data) - KERNEL, step)])
 
     def pooled(self, pooled: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The mean and the maximum of each text's chunks, and how many bytes of text there are."""
@@ -56,11 +63,11 @@ class ByteCNN:
         if not texts:
             return np.zeros(0)
         data, starts = packed(texts)
-        pooled = np.maximum(self.chunks(data).max(1), 0)
+        pooled = np.maximum(self.maxima(data), 0)
         return 1 / (1 + np.exp(-(self.pooled(pooled, starts) @ self.head + self.offset).astype(np.float64)))
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 48, rate: float = 0.01, seed: int = 7) -> ByteCNN:
+def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 48, rate: float = 0.01, seed: int = 7) -> ByteCNN:
     """Adam on the log loss. Gradients reach a filter only at the place of its maximum, so a step back is cheap."""
     rng = np.random.default_rng(seed)
     model = ByteCNN(rng.normal(0, 0.15, (KERNEL, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS + 1).astype(np.float32), 0.0)
@@ -88,7 +95,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 48, rate
             dp = dz[text_of, :FILTERS] / np.diff(starts)[text_of, None]
             is_top = pooled == z[text_of, FILTERS : 2 * FILTERS]
             dp = (dp + dz[text_of, FILTERS : 2 * FILTERS] * is_top) * (top > 0)
-            first = np.arange(len(top))[:, None] * CHUNK + where * STRIDE
+            first = np.arange(len(top))[:, None] * CHUNK + where
             flat, f = dp.ravel(), np.tile(np.arange(FILTERS), len(top))
             grads = {"bias": dp.sum(0), "head": z.T @ d + 1e-4 * model.head, "offset": float(d.sum())}
             taps = np.empty_like(model.taps)
@@ -116,8 +123,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """id, held_out, score and predicted for each row of docs, from the bytes of its whole text alone.
 
     Learnt from at most sample_rows labelled documents outside the held-out fold. Null text: as empty; an empty text
-    is one chunk of zeros. No usable labels: the score is 0.5 throughout. Empty table: no rows. Other columns of
-    docs are not carried.
+    is one chunk of zeros. Repeated rows: a row each, with the same score. A very long text is seen whole, some chunks at
+    a time. No usable labels: the score is 0.5 throughout. Empty table: no rows. Other columns of docs are not carried.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label, sample_rows))
     rows = docs.select(col(id_col), held_out(col(id_col)).alias("held_out"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("__text"))

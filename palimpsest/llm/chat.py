@@ -33,6 +33,11 @@ def unescape(text: str) -> str:
     return _unescape.sub(r"\1\2", text)
 
 
+def texts_of(body: str) -> str:
+    """The texts of a turn's content, without its placeholders; each stretch between these was escaped by itself."""
+    return "".join(map(unescape, _placeholder.split(body)))
+
+
 PART_TYPE = T.StructType([T.StructField(n, t) for n, t in (("type", T.StringType()), ("text", T.StringType()), ("ref", T.StringType()), ("width", T.LongType()), ("height", T.LongType()), ("seconds", T.DoubleType()), ("pages", T.LongType()))])
 ATTACHMENT = T.StructType([T.StructField(n, t) for n, t in (("position", T.IntegerType()), ("kind", T.StringType()), ("ref", T.StringType()), ("tokens", T.LongType()))])
 
@@ -49,14 +54,22 @@ class PartVisitor:
     tokens_per_second: float = 25.0
     tokens_per_page: int = 1024
     pieces: list[str] = field(default_factory=list)
+    open: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
 
     def visit(self, part: dict | None) -> None:
         if part is not None:
-            getattr(self, f"visit_{part.get('type')}", self.visit_other)(part)
+            {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(part.get("type"), self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.pieces.append(escape(part.get("text") or ""))
+        self.open.append(part.get("text") or "")
+
+    def body(self) -> str:
+        """The turn's content so far. Text parts that follow each other are escaped as one, so no control string comes about where they meet."""
+        if self.open:
+            self.pieces.append(escape("".join(self.open)))
+            self.open.clear()
+        return "".join(self.pieces)
 
     def visit_image(self, part: dict) -> None:
         self._attach("image", part, math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch))
@@ -71,6 +84,7 @@ class PartVisitor:
         self._attach("file", part, 0)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.body()
         self.pieces.append(f"<|{kind}:{len(self.attachments)}|>")
         self.attachments.append({"position": len(self.attachments), "kind": kind, "ref": part.get("ref"), "tokens": int(tokens)})
 
@@ -82,7 +96,8 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     the formatted conversation. loss_start and loss_end are code points of the segment: the content of a turn of
     trained_role, else null. Each row is formatted by itself: nothing is shuffled or gathered.
 
-    Null text: empty. Null role: an empty role. Null conv or turn: kept, as a conversation or place of its own.
+    Null text, null parts or an empty array: empty. Null role: an empty role. Null conv or turn: kept, as a conversation
+    or place of its own. Repeated rows: a segment each. Empty table: no rows. Other columns are not carried.
     """
     rows = turns.select(col(conv_col), col(turn_col), col(role_col).cast("string").alias("__role"), col(content_col).alias("__content"))
 
@@ -92,7 +107,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             visitor = PartVisitor()
             for part in [{"type": "text", "text": content}] if content is None or isinstance(content, str) else content:
                 visitor.visit(part)
-            head, body = f"{START}{escape(role or '')}{TEXT}", "".join(visitor.pieces)
+            head, body = f"{START}{escape(role or '')}{TEXT}", visitor.body()
             trained = role == trained_role
             for store, x in zip(out, (head + body + END, len(head) if trained else None, len(head) + len(body) if trained else None, visitor.attachments, sum(a["tokens"] for a in visitor.attachments)), strict=True):
                 store.append(x)
@@ -112,9 +127,9 @@ class _ReadBack:
         self.chars += len(segment)
         for role, body in _turn.findall(segment):
             self.turns += 1
-            self.turns_hash.update(f"{unescape(role)}\n{unescape(_placeholder.sub('', body))}\n".encode("utf-8", "surrogatepass"))
+            self.turns_hash.update(f"{unescape(role)}\n{texts_of(body)}\n".encode("utf-8", "surrogatepass"))
         if start is not None:
-            text = unescape(_placeholder.sub("", segment[start:end]))
+            text = texts_of(segment[start:end])
             self.loss += len(text)
             self.loss_hash.update(text.encode("utf-8", "surrogatepass"))
 

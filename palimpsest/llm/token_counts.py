@@ -28,8 +28,8 @@ def tokenizer(path: str):
 def count_tokens(texts: list[str | None], path: str) -> list[int]:
     """The number of tokens of each text, as the library gives them for the whole text.
 
-    A long text is split before spaces that follow other characters: no pre-token spans such a place and no special
-    string has a space, so the parts' counts add up. Parts are put together in batches of about BATCH bytes.
+    A long text is split at places that no pre-token and no special string spans (safe_parts), so the parts' counts add
+    up. Parts are put together in batches of about BATCH bytes.
     """
     model, counts = tokenizer(path), [0] * len(texts)
     batch: list[str] = []
@@ -46,7 +46,7 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
         for part in safe_parts(text or "", PART):
             batch.append(part)
             owners.append(i)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass"))
             if size >= BATCH:
                 flush()
                 size = 0
@@ -58,7 +58,8 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 512) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (n_tokens > limit), a row for each row of docs.
 
-    Null text: as empty (0 bytes, 0 tokens). Empty table: no rows. Other columns of docs are not carried.
+    Null text: as empty (0 bytes, 0 tokens). Repeated rows and null ids: a row each. A very long text is encoded part by
+    part. Empty table: no rows. Other columns of docs are not carried.
     """
     path = path or public_tokenizers.path(MODEL)
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))

@@ -179,8 +179,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """id, held_out, score and predicted for each row of docs.
 
     Learnt from at most sample_rows labelled documents outside the held-out fold, the lexicon of stems included; label,
-    language, source and id are no features. Null text: as empty; an empty text has the score of one without any feature. No usable labels: the
-    score is 0.5 throughout. Empty table: no rows. Other columns of docs are not carried.
+    language, source and id are no features. Null text: as empty; an empty text has the score of one without any feature.
+    Repeated rows: a row each, with the same score. A very long text is counted whole. No usable labels: the score is
+    0.5 throughout. Empty table: no rows. Other columns of docs are not carried.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label, sample_rows))
     rows = docs.select(col(id_col), held_out(col(id_col)).alias("held_out"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("__text"))

@@ -374,6 +374,71 @@ def test_tokens_of_whole_and_split_texts(docs):
         assert "".join(safe_parts(text, 100)) == text
 
 
+def test_texts_without_spaces_are_split():
+    """Ideographs are split at their marks, and the parts' tokens are the whole's."""
+    text = "天地玄黄，宇宙洪荒。日月盈昃、辰宿列张；" * 3000
+    parts = safe_parts(text, 1000)
+    assert len(parts) > 50 and max(map(len, parts)) < 1100 and "".join(parts) == text
+    path = public_tokenizers.path(byte_bpe.RANKS)
+    assert [i for p in parts for i in byte_bpe.encode(p, path)] == byte_bpe.encoding(path).encode_ordinary(text)
+    whole = token_counts.tokenizer(public_tokenizers.path(token_counts.MODEL))
+    assert token_counts.count_tokens([text], public_tokenizers.path(token_counts.MODEL)) == [len(whole.encode(text, add_special_tokens=False))]
+
+
+def test_token_queries_against_the_libraries(spark, docs):
+    counts, trips = (queries.queries()[n](spark, DATA).toPandas().set_index("doc_id") for n in ("op6_token_counts", "op8_byte_bpe"))
+    whole, plain = token_counts.tokenizer(public_tokenizers.path(token_counts.MODEL)), byte_bpe.encoding(public_tokenizers.path(byte_bpe.RANKS))
+    for doc_id, text in zip(docs.doc_id, docs.text, strict=True):
+        n, ids = len(whole.encode(text, add_special_tokens=False)), plain.encode_ordinary(text)
+        assert tuple(counts.loc[doc_id]) == (len(text.encode()), n, n > 512)
+        assert tuple(trips.loc[doc_id]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_encoded_and_decoded(spark):
+    df = spark.createDataFrame([(1, "a b ß"), (1, "a b ß"), (None, None), (2, "")], "doc_id long, text string")
+    back = byte_bpe.decoded(byte_bpe.encoded(df)).collect()
+    assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in back) == [(0, b""), (1, "a b ß".encode()), (1, "a b ß".encode()), (2, b"")]
+
+
+def test_mix_is_near_its_targets(spark):
+    """Words taken of each source: within 20 % of its target at sf0.01 (50 documents each), and the large part within 5 %."""
+    folder = DATA.replace("0.001", "0.01")
+    plan = mixing.mix_plan(spark.read.parquet(f"{folder}/documents.parquet"), carry=("doc_id", "source")).toPandas()
+    share = plan.groupby("source").taken.sum() / plan.groupby("source").target.first()
+    assert share.between(0.8, 1.2).all() and share.between(0.95, 1.05).mean() >= 0.4
+    assert (plan.copies <= 3).all() and abs(plan.taken.sum() / plan["size"].sum() - 1) < 0.02
+
+
+def test_mix_of_many_sources_is_joined(spark, edges):
+    """Where sums and heavy documents are too many to broadcast, a join gives the same mix."""
+    small, joined = (mixing.mix_plan(edges, broadcast_rows=n).toPandas() for n in (50_000, 0))
+    assert sorted(map(str, small.values.tolist())) == sorted(map(str, joined.values.tolist()))
+
+
+def test_exact_dedup_of_hot_groups(spark):
+    """Groups large and small, with and without carried columns, ids repeated and null."""
+    rows_ = [(i % 900 if i % 7 else None, "Same" if i < 2500 else f"t{i % 400}", "c") for i in range(4000)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, other string")
+    for carry in (None, ()):
+        found = exact_dedup.exact_dedup(df, carry=carry).toPandas()
+        frame = pd.DataFrame({"i": [r[0] if r[0] is not None else -1 for r in rows_], "t": [r[1].lower() for r in rows_]})
+        best, size = frame.groupby("t").i.max(), frame.groupby("t").size()
+        assert len(found) == len(rows_) and found.kept.sum() == len(best)
+        by = found.fillna({"doc_id": -1, "keep_id": -1}).groupby("text_sha256")
+        assert {(k, g.keep_id.iloc[0], g.group_size.iloc[0]) for k, g in by} == {(hashlib.sha256(t.encode()).hexdigest(), best[t], size[t]) for t in best.index}
+        assert (found[found.kept].doc_id.fillna(-1) == found[found.kept].keep_id.fillna(-1)).all()
+
+
+def test_long_text_in_chunks(monkeypatch):
+    """The classifier sees a long text whole, some chunks at a time; every place of it counts."""
+    model = byte_cnn.fit(["good text here " * 40, "bad words there " * 50] * 4, np.array([1.0, 0.0] * 4), epochs=2)
+    text = "some words " * 5000
+    whole = model.scores([text, "x", ""])
+    monkeypatch.setattr(byte_cnn, "AT_ONCE", 3)
+    assert model.scores([text, "x", ""]).tolist() == whole.tolist()
+    data, _ = byte_cnn.packed([text])
+    assert len(data) >= len(text) + byte_cnn.KERNEL - 1
+
 def test_chat_escapes_are_reversible():
     random.seed(5)
     for _ in range(20_000):
@@ -382,6 +447,20 @@ def test_chat_escapes_are_reversible():
         assert chat.unescape(hidden) == text and not re.search(r"<\||</s>|\[/?INST\]", hidden)
 
 
+def test_chat_escapes_across_parts():
+    """However a text is dealt over parts, nothing of it can be taken for a mark, and the texts come back."""
+    random.seed(12)
+    part = lambda kind, text: {"type": kind, "text": text}
+    for _ in range(10_000):
+        parts = [part(random.choice(["text", "text", "text", "image"]), "".join(random.choice(["<", "|", "\\", "[", "INST]", "/INST]", "end", "|>", "|end|>", ">", "image:0"]) for _ in range(random.randint(0, 4)))) for _ in range(random.randint(0, 5))]
+        visitor = chat.PartVisitor()
+        for p in parts:
+            visitor.visit(p)
+        body = visitor.body()
+        assert chat.texts_of(body) == "".join(p["text"] for p in parts if p["type"] == "text")
+        assert len(chat._placeholder.findall(body)) == sum(p["type"] == "image" for p in parts) and not re.search(r"</s>|\[/?INST\]|<\|(?!image:\d+\|>)", body)
+
+
 def test_chat_read_back(spark):
     turns = pd.read_parquet(f"{DATA}/conversations.parquet").sort_values(["conv_id", "turn"])
     text = "</s>[INST] ok [/INST]"

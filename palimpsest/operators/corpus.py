@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,59 +14,39 @@ from pyspark.sql import types as T
 from palimpsest.functions.text import placeholder_share, runs, word_count
 
 
+_word = re.compile(r"\S+")
+
+
 def split_chunks(text: str | None, size: int = 1500, overlap: int = 150) -> list[str]:
     """Pieces of at most `size` characters that end at a space and begin at a word, each overlapping its predecessor.
 
-    A word longer than a piece is not cut. A last piece shorter than max(300, size // 6) joins its predecessor without
-    the characters that both have. size <= 0: one piece.
+    Places are looked up in two sorted lists, the spaces and the starts of words. A word longer than a piece is not cut.
+    A last piece shorter than max(300, size // 6) joins its predecessor without the characters that both have. size <= 0:
+    one piece.
     """
     text = (text or "").strip()
     if size <= 0 or len(text) <= size:
         return [text]
-    overlap, pieces, start = min(max(overlap, 0), size - 1), [], 0
+    spaces = [*(m.start() for m in re.finditer(" ", text)), len(text)]
+    words = [m.span() for m in _word.finditer(text)]
+    starts, back = [*(a for a, _ in words), len(text)], min(max(overlap, 0), size - 1)
+    pieces, start = [], 0
     while start < len(text):
-        cut = _end_of_piece(text, start, size)
-        if piece := text[start:cut].strip():
-            pieces.append(piece)
-        if cut >= len(text):
-            break
-        following = _word_start(text, max(0, cut - overlap), cut)
-        start = following if following > start else _skip_spaces(text, cut)
-    return _joined_tail(pieces, max(300, size // 6), overlap)
-
-
-def _end_of_piece(text: str, start: int, size: int) -> int:
-    limit = start + size
-    if limit >= len(text):
-        return len(text)
-    last = text.rfind(" ", start, limit)
-    if last > start:
-        return last
-    after = text.find(" ", limit)
-    return after if after >= 0 else len(text)
-
-
-def _skip_spaces(text: str, at: int) -> int:
-    while at < len(text) and text[at].isspace():
-        at += 1
-    return at
-
-
-def _word_start(text: str, at: int, stop: int) -> int:
-    """The first word start from `at`, or `stop` if the word there reaches that far."""
-    inside = at > 0 and not (text[at].isspace() or text[at - 1].isspace())
-    if inside:
-        space = text.find(" ", at, stop)
-        at = stop if space < 0 else space
-    return _skip_spaces(text, at)
-
-
-def _joined_tail(pieces: list[str], least: int, overlap: int) -> list[str]:
-    if len(pieces) < 2 or len(pieces[-1]) >= least:
-        return pieces
-    *head, before, tail = pieces
-    rest = tail[overlap:].lstrip() if overlap else tail
-    return [*head, f"{before} {rest}".strip() if rest else before]
+        # The last space within reach, or else the next one; the end is a space of its own.
+        within = bisect_left(spaces, start + size) - 1
+        cut = len(text) if start + size >= len(text) else spaces[within] if within >= 0 and spaces[within] > start else spaces[within + 1]
+        pieces.append(text[start:cut].strip())
+        at = max(0, cut - back)
+        inside = bisect_left(starts, at) - 1
+        if inside >= 0 and at < words[inside][1]:  # the rest of a word that begins before
+            at = min(cut, spaces[bisect_left(spaces, at)])
+        following = starts[bisect_left(starts, at)]
+        start = len(text) if cut == len(text) else following if following > start else starts[bisect_left(starts, cut)]
+    pieces = [x for x in pieces if x]
+    if len(pieces) > 1 and len(pieces[-1]) < max(300, size // 6):
+        tail = pieces.pop()[back:].lstrip()
+        pieces[-1] = f"{pieces[-1]} {tail}".strip()
+    return pieces
 
 
 def chunked(sections: DataFrame, keys: list[str], text_col: str = "text", size: int = 1500, overlap: int = 150) -> DataFrame:

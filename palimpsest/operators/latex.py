@@ -25,8 +25,19 @@ def _text_udf(f: Callable[[str], str]):  # noqa: ANN202
 
 
 clean = _text_udf(tex.cleaned)
-mask_numbers = _text_udf(tex.numbers_masked)
-merge_placeholders = _text_udf(tex.ladder)
+
+
+def mask_numbers(text: Column) -> Column:
+    """The rule of numbers alone (numbers_masked for ASCII digits), as a built-in function."""
+    stays = rf"(?:{tex.STAYS})(?![0-9A-Za-z.])"
+    return F.regexp_replace(text, rf"(?<![0-9A-Za-z])(?!{stays})[A-Za-z]*+[0-9][0-9A-Za-z]*+(?:\.[0-9A-Za-z]++)*+", tex.marked("num"))
+
+
+def merge_placeholders(text: Column) -> Column:
+    """Three rounds of the rules that tighten and merge placeholders, as built-in functions."""
+    for pattern, by in tex.ladder_rules() * 3:
+        text = F.regexp_replace(text, f"(?U){pattern}", by.replace("\\1", "$1").replace("\\2", "$2"))
+    return text
 
 
 @F.pandas_udf(SECTIONS)

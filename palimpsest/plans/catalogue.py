@@ -81,7 +81,7 @@ def clean_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", latex.mask_numbers("text").alias("masked"))
+    return _table(spark, sf_dir, "documents").select("doc_id", latex.mask_numbers(F.col("text")).alias("masked"))
 
 
 def placeholder_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,27 @@ papers AS (
 """
 
 
+# Texts are cut into runs joined by dots (with a dot that follows) and single other characters; a run is judged by itself.
+_MASKED = r"""
+WITH parts AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*\.?|[^0-9A-Za-z]') AS p FROM documents),
+cut AS (SELECT doc_id, list_transform(p, lambda t: {'t': t, 'dot': t[-1] = '.' AND len(t) > 1, 'runs': string_split(CASE WHEN t[-1] = '.' AND len(t) > 1 THEN t[:-2] ELSE t END, '.')}) AS p FROM parts),
+judged AS (SELECT doc_id, list_transform(p, lambda x: {'x': x, 'first': list_position(list_transform(x.runs, lambda r, i: regexp_matches(r, '[0-9]') AND NOT (i = len(x.runs) AND NOT x.dot
+  AND (regexp_full_match(r, '[A-Za-z]{0,3}([0-9]|10|11|26)') OR regexp_full_match(r, '([0-9]|10|11|26)[A-Za-z]')))), true)}) AS p FROM cut)
+SELECT doc_id, array_to_string(list_transform(p, lambda y: CASE WHEN coalesce(y.first, 0) = 0 THEN y.x.t
+  ELSE array_to_string(list_append(y.x.runs[1:y.first - 1], ' @@num@@ '), '.') || CASE WHEN y.x.dot THEN '.' ELSE '' END END), '') AS masked FROM judged"""
+
+# What the rules make of the query's placeholders, by hand: before the text (MATH), EQN and REF are one EQN; behind it NUM, URL and CITE are one NUM.
+_LADDER = r"""
+SELECT doc_id, regexp_replace('@@eqn@@ - ' || text || ' @@num@@', '([(\[])\s+@@num@@$', '\1@@num@@') AS merged FROM documents"""
+
+_EXTRACTED = r"""
+SELECT doc_id, '{"src":"' || source || '"}' AS noarg, '{"two":2}' AS arg, '{"eqs":"equation"}' AS env, '{"op":"cl"}' AS delim FROM documents"""
+
+_EXPANDED = r"""
+SELECT doc_id, '   \newenvironment{eqs}{\begin{equation}}{\end{equation}} \begin{document}\maketitle \section{Opening} ' || translate(text, '\{}$%', '')
+  || ' $x$ and $E = mc^2$ in 2021, see \cite{a,b}. ' || source || '\  @@env@@  \begin{equation} a = b \end{equation} \section{' || lang || '} \textbf{end}  @@env@@  \section{References} z \end{document}' AS expanded FROM documents"""
+
+
 def statements(candidates: int) -> dict[str, str]:
     ranked = {name: f"WITH {_matching(candidates)} SELECT chunk_id, round(score, 6) AS score, rank FROM ({body})" for name, body in _METHODS.items()}
     pool = lambda *a: f"WITH {_pooled(candidates, *a)} SELECT doc_id, round(score, 6) AS score, n_chunks, array_to_string(list_transform(found, lambda s: s.section || ':' || s.n), ',') AS sections, rank FROM papers"
@@ -134,6 +155,10 @@ def statements(candidates: int) -> dict[str, str]:
     window = "ids[1:160]"
     missing = "greatest(160 - len(ids), 0)"
     return {
+        "number_masking": _MASKED,
+        "placeholder_ladder": _LADDER,
+        "macro_extract": _EXTRACTED,
+        "macro_expand": _EXPANDED,
         "tokenize_counts": rf"SELECT doc_id, len({_WORDS})::BIGINT AS n_words, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_runs FROM documents",
         "latinize_text": _digest(_ASCII.format("text")),
         "dash_fold": _digest("regexp_replace(text, '[‐-―−﹣－]', '-', 'g')"),

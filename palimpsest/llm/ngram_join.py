@@ -9,9 +9,9 @@ t of either, so under any order of all shingles the first n - ceil(t n) + 1 of o
 3. For the rest all shingles are counted. Those that one class alone has come first in three more orders; the others
    follow by count and hash, or by either of two other hashes. Two classes are candidates if they share a shingle in the
    first one's prefix, so early that enough of both can still follow; before verification they must share one in each
-   other order's prefix too.
-4. Verification counts the whole sets. Only components are wanted, so a candidate pair that is already connected needs no
-   verification: rounds in which the members of a bucket are held against its pivot connect most, and then every pair
+   other order's prefix too; prefixes are intersected as tables before whole sets are fetched.
+4. Verification counts the whole sets. Where only components are wanted (ngram_groups; ngram_links returns the links), a candidate pair that is
+   already connected needs no verification: rounds in which the members of a bucket are held against its pivot connect most, and then every pair
    that is still in two components is verified. No pair is left out otherwise.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import LOWER, arrow_map, bloom, col, filter_log2, probed, small_batches, written
+from palimpsest.sources.shared import made, removed
 
 #: Odd multipliers, one for each place in a shingle and each order.
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -95,8 +96,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 def survivors(signed: DataFrame) -> DataFrame:
     """sig, n and key of a row of each class that shares enough of its prefix with other classes."""
     postings = signed.filter("n > 0").select("short", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low != high").select("token")
-    counts = postings.join(shared, "token").groupBy("short").agg(F.count(F.lit(1)).alias("shared"))
+    shared = kept(postings.groupBy("token").agg(F.min("short").alias("low"), F.max("short").alias("high"), F.count(F.lit(1)).alias("c")).filter("low != high").select("token", "c"))
+    hot = hot_keys(shared, "token", "c", shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    counts = salted(postings, "token", shared.select("token"), hot, "short").groupBy("short").agg(F.count(F.lit(1)).alias("shared"))
     classes = signed.filter("n > 0").groupBy("sig").agg(F.min("short").alias("short"), F.min("n").alias("n"), F.min("need").alias("need"), F.count(F.lit(1)).alias("copies"), F.min(F.xxhash64("__id", "__th")).alias("key"))
     return classes.join(counts, "short").filter("shared >= need * copies").select("sig", "n", "key")
 
@@ -118,8 +120,9 @@ def whole_sets(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, si
 def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
     """sig, n, shared (sorted members that another class has), its bitmap and prefixes under three orders, of classes that share enough of their sets."""
     tokens = sets.select("sig", F.explode("tokens").alias("token"))
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    listed = tokens.join(df, "token").groupBy("sig").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
+    df = kept(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    hot = hot_keys(df, "token", "df", df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0])
+    listed = salted(tokens, "token", df, hot, "sig").groupBy("sig").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
     sized = listed.join(sets.select("sig", F.size("tokens").cast("long").alias("n")), "sig").filter(F.size("tokens") * 100 >= F.col("n") * percent)
 
     def run(sizes: list, tokens: list, dfs: list) -> tuple:
@@ -143,39 +146,55 @@ def ordered_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b) of pairs whose sets share a member under each order and are similar enough."""
-    side = lambda s: sets.select(F.col("sig").alias(s), F.struct("n", "shared", "second", "third").alias(f"set_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    """The rows (a, b) of pairs whose sets are similar enough.
+
+    A pair must share a member in the prefixes of the second and of the third order: these are fetched and intersected
+    first, so that whole sets are only fetched for pairs that every order lets pass.
+    """
+
+    def with_both(rows: DataFrame, *columns: str) -> DataFrame:
+        side = lambda x: sets.select(F.col("sig").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        return rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for x in "ab" for c in columns))
+
+    # A prefix without members that others have excludes nothing.
+    meets = [(F.size(f"{c}_a") == 0) | (F.size(f"{c}_b") == 0) | F.arrays_overlap(f"{c}_a", f"{c}_b") for c in ("second", "third")]
+    both = with_both(with_both(pairs, "second", "third").filter(meets[0] & meets[1]).select("a", "b"), "n", "shared")
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keep = []
-                for x, y in zip(_sets(part.column(2)), _sets(part.column(3)), strict=True):
-                    ok = _meet(x[2], y[2]) and _meet(x[3], y[3])
-                    if ok:
-                        common = len(np.intersect1d(x[1], y[1], assume_unique=True))
-                        ok = 100 * common >= percent * (x[0] + y[0] - common)
-                    keep.append(ok)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                sizes = [part.column(i).to_numpy() for i in (2, 4)]
+                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_lists(part.column(3)), _lists(part.column(5)), strict=True)]
+                similar = [100 * c >= percent * (n + m - c) for n, m, c in zip(*sizes, common, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
     small_batches(both.sparkSession)
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _sets(column: pa.StructArray) -> list[tuple]:
-    n = column.field(0).to_pylist()
-    lists = []
-    for i in (1, 2, 3):
-        field = column.field(i)
-        values, ends = field.values.to_numpy(), field.offsets.to_numpy()
-        lists.append([values[s:e] for s, e in zip(ends, ends[1:], strict=False)])
-    return list(zip(n, *lists, strict=True))
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+
+
+#: Tasks that the rows of a hot key are dealt over.
+SALTS = 16
 
 
-def _meet(x: np.ndarray, y: np.ndarray) -> bool:
-    return not len(x) or not len(y) or bool(np.isin(x, y).any())
+def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The keys that more than a thousandth of all rows have, of which there are fewer than a thousand."""
+    return kept(counts.filter(F.col(count) * 1000 > F.lit(total)).select(key))
+
+
+def salted(rows: DataFrame, key: str, per_key: DataFrame, hot: DataFrame, *spread: str) -> DataFrame:
+    """The inner join of rows with per_key (one row a key): rows of a hot key are dealt over SALTS tasks by the columns `spread`."""
+    flagged = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    every = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(flagged, key, "left").withColumn("__salt", salt).drop("__hot")
+    right = per_key.join(flagged, key, "left").withColumn("__salt", every).drop("__hot")
+    return left.join(right, [key, "__salt"]).drop("__salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -207,17 +226,18 @@ def linked(sets: DataFrame, percent: int, rounds: int = 6) -> DataFrame:
     members outside their bucket's largest label are held against members of that label, a few for each round, in the
     order of a hash. What is still apart after that is verified pair by pair, so no link is lost whatever the rounds do.
     """
-    postings = kept(sets.select("sig", "n", F.size("shared").cast("long").alias("e"), F.posexplode("first").alias("at", "token")))
+    postings = _postings(sets)
     size, before = postings.count(), None
-    labels = _merged(None, kept(verified(_against_pivot(postings, percent), sets, percent)))
-    mixed = kept(_mixed(_labelled(postings, labels)))
+    hot = hot_keys(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "token", "c", size)
+    labels = _merged(None, kept(verified(_against_pivot(postings, hot, percent), sets, percent)))
+    mixed = kept(_mixed(_labelled(postings, labels), hot))
     for turn in range(rounds):
         apart = mixed.agg(F.sum(F.col("all") - F.col("largest"))).first()[0] or 0
         if apart <= size // 8 or before is not None and apart > 0.8 * before:
             break
         before = apart
-        labels = _merged(labels, kept(verified(_against_largest(mixed, percent, turn, 8), sets, percent)))
-        mixed = kept(_mixed(_labelled(mixed.select(postings.columns), labels)))
+        labels = _merged(labels, kept(verified(_against_largest(mixed, hot, percent, turn, 8), sets, percent)))
+        mixed = kept(_mixed(_labelled(mixed.select(postings.columns), labels), hot))
     labels = _merged(labels, kept(verified(_open_pairs(mixed, sets, percent), sets, percent)))
     return labels if labels is not None else sets.limit(0).select("sig", F.col("sig").alias("label"))
 
@@ -243,51 +263,83 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return kept(old.union(new).groupBy("sig").agg(F.min("label").alias("label")))
 
 
-def _against_pivot(now: DataFrame, percent: int) -> DataFrame:
+def _against_pivot(now: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """Each member with the pivot of its buckets, two pivots at most, those it meets most often."""
     pivots = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig").alias("k"), F.col("sig").alias("b"), F.col("n").alias("m"), F.col("e").alias("f"))).alias("pivot"))
-    met = now.join(pivots, "token").filter((F.col("sig") != F.col("pivot.b")) & _may_link(F.col("n"), F.col("e"), F.col("pivot.m"), F.col("pivot.f"), percent))
+    met = salted(now, "token", pivots, hot, "sig").filter((F.col("sig") != F.col("pivot.b")) & _may_link(F.col("n"), F.col("e"), F.col("pivot.m"), F.col("pivot.f"), percent))
     counted = met.groupBy(F.col("sig").alias("a"), F.col("pivot.b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
     return counted.withColumn("place", F.row_number().over(best)).filter("place <= 2").select("a", "b")
 
 
-def _against_largest(mixed: DataFrame, percent: int, turn: int, most: int) -> DataFrame:
+def _against_largest(mixed: DataFrame, hot: DataFrame, percent: int, turn: int, most: int) -> DataFrame:
     """Each member outside its bucket's largest label with members of that label, one for each bucket, `most` of them at most."""
     inside = mixed.filter("label = most").groupBy("token").agg(F.min(F.struct(F.xxhash64("sig", "token", F.lit(turn)).alias("k"), F.col("sig").alias("b"), F.col("n").alias("m"), F.col("e").alias("f"))).alias("pivot"))
-    met = mixed.filter("label != most").join(inside, "token").filter(_may_link(F.col("n"), F.col("e"), F.col("pivot.m"), F.col("pivot.f"), percent))
+    met = salted(mixed.filter("label != most"), "token", inside, hot, "sig").filter(_may_link(F.col("n"), F.col("e"), F.col("pivot.m"), F.col("pivot.f"), percent))
     once = met.select(F.col("sig").alias("a"), F.col("pivot.b").alias("b")).distinct()
     some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)), "b")
     return once.withColumn("place", F.row_number().over(some)).filter(F.col("place") <= most).select("a", "b")
 
 
-def _mixed(now: DataFrame) -> DataFrame:
+def _mixed(now: DataFrame, hot: DataFrame) -> DataFrame:
     """The members of buckets with more than one label, with the bucket's largest label and how many members it and all labels have.
 
     Labels only ever merge, so later rounds need no other buckets.
     """
     counts = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     buckets = counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("largest"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    return now.join(buckets.drop("labels"), "token")
+    return salted(now, "token", buckets.drop("labels"), hot, "sig")
 
 
-def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket's members with two labels: those outside its largest label with all others.
+def _sides(rows: DataFrame, sets: DataFrame, percent: int, *columns: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides of a join of a bucket's members, and a condition that every pair with a link meets at the first shingle that it shares.
 
-    At the first shingle that a pair shares, what is left of either set from there on bounds what they share; a row
-    for a later one may be dropped by that test, the first one's is not if the pair has a link. A bit that one bitmap has
-    and the other has not stands for one member at least that they do not share.
+    What is left of either set from that shingle on bounds what they share; a row for a later one may be dropped by that
+    test. A bit that one bitmap has and the other has not stands for one member at least that they do not share.
     """
     bits = [f"bits{i}" for i in range(_BITMAP)]
-    rows = mixed.join(sets.select("sig", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "sig").withColumn("left", F.col("e") - F.col("at"))
-    side = lambda x: [F.col("sig").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "e", "left", "label", *bits))]
-    few = rows.filter("label != most").select("token", *side("a"))
-    every = rows.select("token", *side("b"), (F.col("label") == F.col("most")).alias("large"))
+    whole = rows.join(sets.select("sig", *(F.col("bits")[i].alias(b) for i, b in enumerate(bits))), "sig").withColumn("left", F.col("e") - F.col("at"))
+    side = lambda x: whole.select("token", F.col("sig").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "e", "left", *bits, *columns)))
     alone = lambda x, y: sum((F.bit_count(F.col(f"{b}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{y}")))) for b in bits), F.lit(0))
-    apart = (F.col("label_a") != F.col("label_b")) & (F.col("large") | (F.col("a") < F.col("b")))
-    apart &= _may_link(F.col("n_a"), F.col("left_a"), F.col("n_b"), F.col("left_b"), percent)
-    apart &= _may_link(F.col("n_a"), F.col("e_a") - alone("a", "b"), F.col("n_b"), F.col("e_b") - alone("b", "a"), percent)
-    return few.join(every, (few["token"] == every["token"]) & apart).select("a", "b").distinct()
+    near = _may_link(F.col("n_a"), F.col("left_a"), F.col("n_b"), F.col("left_b"), percent)
+    return side("a"), side("b"), near & _may_link(F.col("n_a"), F.col("e_a") - alone("a", "b"), F.col("n_b"), F.col("e_b") - alone("b", "a"), percent)
+
+
+def _open_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket's members with two labels: those outside its largest label with all others."""
+    few, every, near = _sides(mixed, sets, percent, "label", "most")
+    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("most_b")) | (F.col("a") < F.col("b")))
+    few = few.filter("label_a != most_a").withColumnRenamed("token", "__token")
+    return few.join(every, (F.col("__token") == F.col("token")) & apart & near).select("a", "b").distinct()
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    return kept(sets.select("sig", "n", F.size("shared").cast("long").alias("e"), F.posexplode("first").alias("at", "token")))
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, spare: float, max_filter_log2: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and the ordered sets of the classes that may have a partner."""
+    signed, before = kept(signatures(docs, id_col, text_col, size, percent, spare)), made()
+    found = kept(survivors(signed))
+    tokens = kept(whole_sets(docs, found, id_col, text_col, size, max_filter_log2))
+    sets, path = kept(ordered_sets(tokens, percent)), made()[-1]
+    removed(docs.sparkSession, [p for p in made() if p not in before and p != path])
+    return signed, sets
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, spare: float = 0.06, max_filter_log2: int = 26) -> tuple[DataFrame, DataFrame]:
+    """(members, links): every row's __id, __th, n_shingles and class; and each linked pair of classes a < b, once.
+
+    A class has the rows with one set of shingles, which are all linked to each other; between classes no link is left
+    out. Candidates pass the filters of every order before they are verified. Two rows link when their classes are one
+    or are a pair; as many links as there are in a group of near copies are verified and returned, but copies of one
+    text are not expanded. Rows without words have a null class. Nulls, repeats and names are treated as by ngram_groups.
+    """
+    signed, sets = _prepared(docs, id_col, text_col, size, percent, spare, max_filter_log2)
+    one, other, near = _sides(_postings(sets), sets, percent)
+    pairs = one.withColumnRenamed("token", "__token").join(other, (F.col("__token") == F.col("token")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    members = signed.select("__id", "__th", F.col("n").alias("n_shingles"), F.col("sig").alias("class"))
+    return members, verified(pairs, sets, percent)
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, spare: float = 0.06, max_filter_log2: int = 26) -> DataFrame:
@@ -299,17 +351,19 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hash) of the component; null for rows without words.
 
     Null text: as without words. Null id: linked like others, but smaller only than nothing. Repeated rows: each a row,
-    linked to each other. Empty table: no rows. Other columns of docs are not carried.
+    linked to each other. A very long text: its set is held in one task, 8 bytes a shingle. Empty table: no rows. Other
+    columns of docs are not carried.
     """
-    signed = kept(signatures(docs, id_col, text_col, size, percent, spare))
-    found = kept(survivors(signed))
-    sets = kept(ordered_sets(kept(whole_sets(docs, found, id_col, text_col, size, max_filter_log2)), percent))
+    signed, sets = _prepared(docs, id_col, text_col, size, percent, spare, max_filter_log2)
     labels = linked(sets, percent)
     classes = signed.filter("n > 0").groupBy("sig").agg(F.min("__id").alias("low"), F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__th")).alias("first"))
-    own = classes.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    groups = own.groupBy("label").agg(F.min("low").alias("component"), F.min("first").alias("first"))
-    known = own.select("sig", "label").join(groups, "label").select("sig", "component", "first")
-    out = signed.select("__id", "__th", F.col("n").alias("n_shingles"), "sig").join(known, "sig", "left")
+    own = kept(classes.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+    groups = own.groupBy("label").agg(F.min("low").alias("component"), F.min("first").alias("first"), F.count(F.lit(1)).alias("c"))
+    known = salted(own.select("sig", "label"), "label", groups, hot_keys(groups, "label", "c", own.count()), "sig").select("sig", "component", "first")
+    # A hot class is one with many copies: its one row is dealt to all tasks that have some of them.
+    rows = signed.select("__id", "__th", F.col("n").alias("n_shingles"), "sig")
+    copies = hot_keys(rows.filter("sig is not null").groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "sig", "c", signed.count())
+    out = salted(rows.filter("sig is not null"), "sig", known, copies, "__id", "__th").unionByName(rows.filter("sig is null"), allowMissingColumns=True)
     return out.select("__id", "__th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("__id")).alias("component_id"), F.struct(F.col("first.__id").alias("id"), F.col("first.__th").alias("th")).alias("__first"))
 
 

@@ -483,12 +483,17 @@ def test_chat_parts(spark):
     assert row.expanded_tokens == 2102
 
 
-def plain_groups(texts):
-    """Components by comparing every pair."""
+def plain_sets(texts):
     sets = {}
     for i, t in texts.items():
         words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
         sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    return sets
+
+
+def plain_groups(texts):
+    """Components by comparing every pair."""
+    sets = plain_sets(texts)
     parent = {i: i for i in texts}
 
     def top(i):
@@ -517,6 +522,14 @@ def test_groups_against_every_pair(spark, docs):
     assert {int(r[0]): (int(r[2]), int(r[3])) for r in found.itertuples(index=False)} == plain_groups(texts)
     kept = {r.doc_id for r in ngram_join.one_of_each_group(df).collect()}
     assert kept == {i for i, (_, c) in plain_groups(texts).items() if i == c}
+    members, links = ngram_join.ngram_links(df)
+    classes = {int(r["__id"]): bytes(r["class"]) for r in members.collect() if r["class"] is not None}
+    pairs = {(bytes(r.a), bytes(r.b)) for r in links.collect()}
+    sets = plain_sets(texts)
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if x and y:
+            assert (100 * len(x & y) >= 80 * len(x | y)) == (classes[a] == classes[b] or (min(classes[a], classes[b]), max(classes[a], classes[b])) in pairs)
 
 
 def test_pipeline(spark):

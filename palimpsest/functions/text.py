@@ -1,13 +1,12 @@
-"""Text expressions: normalization, tokens, placeholders. All are built-in column functions but latinize_any."""
+"""Text expressions: normalization, tokens, placeholders. All are built-in column functions."""
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The word pattern, the placeholders, the characters that may surround one, letters without a decomposition.
 WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?|\d+(?:\.\d+)?|[^\s]"
@@ -25,28 +24,39 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
 
 
-def _single() -> tuple[str, str]:
-    """The characters up to U+FFFF that plain() makes into one other ASCII character, found by rule."""
-    pairs = [(chr(c), p) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and len(p := plain(chr(c))) == 1 and c < 0x2200]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@functools.cache
+def _letters() -> tuple[str, str, dict[str, str]]:
+    """What plain() makes of each character beyond ASCII, found by rule: those that become one character, what they become, and those that become more."""
+    one, more = {}, {}
+    for c in map(chr, (i for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000)):
+        if letters := plain(c):
+            (one if len(letters) == 1 else more)[c] = letters
+    return "".join(one), "".join(one.values()), more
 
 
-_FROM, _TO = _single()
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return [(a, b) for a, b in out]
 
 
 def latinize(text: Column) -> Column:
-    """plain() as built-in functions, for texts of Latin letters; ASCII texts pass untouched."""
-    out = text
-    for letter, ascii_letters in LETTERS.items():
-        if len(ascii_letters) > 1:
-            out = F.replace(out, F.lit(letter), F.lit(ascii_letters))
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(F.translate(out, _FROM, _TO), r"[^\x00-\x7F]", ""))
-
-
-@F.pandas_udf(T.StringType())
-def latinize_any(text: pd.Series) -> pd.Series:
-    """plain() for any script."""
-    return text.map(lambda t: None if t is None else t if t.isascii() else plain(t))
+    """plain() as built-in functions; ASCII texts pass untouched.
+
+    One translation serves the characters that become one letter. A text with others is cut at these, and each is looked
+    up. What is then not ASCII has no letters and is dropped.
+    """
+    source, target, more = _letters()
+    several = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(sorted(map(ord, more))))
+    table = F.map_from_arrays(*(F.split(F.lit("\0".join(x)), "\0") for x in (more.keys(), more.values())))
+    pieces = F.regexp_extract_all(text, F.lit(f"[{several}]|[^{several}]+"), F.lit(0))
+    has_some = F.length(F.translate(text, "".join(more), "")) < F.length(text)
+    whole = F.when(has_some, F.array_join(F.transform(pieces, lambda x: F.coalesce(table[x], x)), "")).otherwise(text)
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(F.translate(whole, source, target), r"[^\x00-\x7F]", ""))
 
 
 def stripped(text: Column) -> Column:

@@ -22,15 +22,22 @@ def unit(vector: Column) -> Column:
     return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length)).otherwise(vector.cast("array<double>"))
 
 
-def dense_scores(candidates: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:
+#: The least that a dot product of unit vectors can be.
+LEAST = -1.0
+
+
+def dense_scores(candidates: DataFrame, vectors: DataFrame, query: list[float], missing: str = "error") -> DataFrame:
     """candidates with dense: the dot product of their vector (chunk_id, embedding) and the query's.
 
-    The candidates are as few as was asked for, so they are what is sent to the vectors; a candidate without a vector
-    has no row.
+    The candidates are as few as was asked for, so they are what is sent to the vectors. missing: what a candidate
+    without a vector is, an `error` that names it, or `last`: it has the least score, LEAST.
     """
+    if missing not in ("error", "last"):
+        raise ValueError("missing is error or last")
     q = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.join(F.broadcast(candidates), "chunk_id").withColumn("dense", dot(F.col("embedding"), q))
-    return scored.select(*candidates.columns, "dense")
+    scored = vectors.join(F.broadcast(candidates.select("chunk_id")), "chunk_id").select("chunk_id", dot(F.col("embedding"), q).alias("dense"))
+    absent = F.lit(LEAST) if missing == "last" else F.raise_error(F.concat(F.lit("no vector of candidate "), F.col("chunk_id").cast("string"))).cast("double")
+    return candidates.join(scored, "chunk_id", "left").select(*candidates.columns, F.coalesce("dense", absent).alias("dense"))
 
 
 def _rank(*order: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import PLACEHOLDERS, searchable, words
+from palimpsest.sources.shared import materialized
 
 #: Folders of an index: a prompt's terms name those that are read.
 BUCKETS = 256
@@ -20,9 +21,9 @@ def terms(text: Column, drop_placeholders: bool = False) -> Column:
 
 
 def term_counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", drop_placeholders: bool = False) -> DataFrame:
-    """chunk_id, term, tf. A chunk's terms are counted before they are shuffled."""
-    exploded = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(terms(F.col(text_col), drop_placeholders)).alias("term"))
-    return exploded.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """chunk_id, term, tf. Texts are dealt by chunk, so its terms are counted, and may later be summed, where they are."""
+    dealt = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).repartition("chunk_id")
+    return dealt.select("chunk_id", F.explode(terms(F.col("text"), drop_placeholders)).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def inverse_frequencies(counts: DataFrame, n: int) -> DataFrame:
@@ -30,11 +31,25 @@ def inverse_frequencies(counts: DataFrame, n: int) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1.0)) + 1.0)
 
 
-def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
+def _weighed(counts: DataFrame, idf: DataFrame, most_terms: int) -> DataFrame:
+    """counts with idf: broadcast where there are at most most_terms (their number is checked), else joined by term.
+
+    In the join, terms that more than a thousandth of the postings have, fewer than a thousand, are still broadcast: no
+    task gets a larger one.
+    """
+    if idf.limit(most_terms + 1).count() <= most_terms:
+        return counts.join(F.broadcast(idf.select("term", "idf")), "term")
+    frequent = F.col("df") * 1000 > F.lit(idf.agg(F.sum("df")).first()[0])
+    common = F.broadcast(idf.filter(frequent).select("term", "idf"))
+    rest = counts.join(common.select("term"), "term", "left_anti").join(idf.filter(~frequent).select("term", "idf"), "term")
+    return counts.join(common, "term").unionByName(rest)
+
+
+def weights(counts: DataFrame, idf: DataFrame, most_terms: int = 500_000) -> DataFrame:
     """chunk_id, term, weight: tf * idf over the chunk's Euclidean norm."""
-    raw = counts.join(idf.select("term", "idf"), "term").select("chunk_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, "chunk_id").select("chunk_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    raw = _weighed(counts, idf, most_terms).select("chunk_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("chunk_id")))
+    return raw.select("chunk_id", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def prompt_terms(spark: SparkSession, prompt: str, drop_placeholders: bool = False) -> DataFrame:
@@ -43,18 +58,19 @@ def prompt_terms(spark: SparkSession, prompt: str, drop_placeholders: bool = Fal
     return one.groupBy("term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def lexical_scores(chunks: DataFrame, prompt: str, id_col: str = "chunk_id", text_col: str = "text", drop_placeholders: bool = False) -> DataFrame:
+def lexical_scores(chunks: DataFrame, prompt: str, id_col: str = "chunk_id", text_col: str = "text", drop_placeholders: bool = False, most_terms: int = 500_000) -> DataFrame:
     """chunk_id, score of every chunk, 0 without a common term.
 
-    The prompt's terms (as many as it has) are broadcast. Weights of the other terms only enter a chunk's norm, which
-    is summed per chunk; no posting but those of the prompt's terms outlives that sum.
+    Postings and frequencies are written once, for the two ways in which they are used. The prompt's terms (as many as
+    it has) are broadcast. Weights of the other terms only enter a chunk's norm, which is summed where the chunk's
+    postings lie; no posting but those of the prompt's terms outlives that sum.
     """
     spark = chunks.sparkSession
-    counts = term_counts(chunks, id_col, text_col, drop_placeholders)
-    idf = inverse_frequencies(counts, chunks.count())
+    counts = materialized(term_counts(chunks, id_col, text_col, drop_placeholders))
+    idf = materialized(inverse_frequencies(counts, chunks.count()))
     query = idf.join(F.broadcast(prompt_terms(spark, prompt, drop_placeholders)), "term").select("term", (F.col("qtf") * F.col("idf")).alias("q"))
     length = query.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm")).first()["q_norm"]
-    raw = counts.join(idf.select("term", "idf"), "term").join(F.broadcast(query), "term", "left").select("chunk_id", (F.col("tf") * F.col("idf")).alias("raw"), "q")
+    raw = _weighed(counts, idf, most_terms).join(F.broadcast(query), "term", "left").select("chunk_id", (F.col("tf") * F.col("idf")).alias("raw"), "q")
     sums = raw.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.sum(F.col("raw") * F.col("q")).alias("dot"))
     score = F.coalesce(F.col("dot") / (F.col("norm") * F.lit(length)), F.lit(0.0)) if length else F.lit(0.0)
     scored = sums.select("chunk_id", score.alias("score"))
@@ -74,7 +90,7 @@ def _bucket(term: Column) -> Column:
 
 
 def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "text", drop_placeholders: bool = False) -> None:
-    """Writes the tables that search_index reads: chunks (chunk_id), terms (term, idf) and postings (term, chunk_id, weight).
+    """Writes the tables that search_index reads: chunks (chunk_id), terms (term, df, idf) and postings (term, chunk_id, weight).
 
     Terms and postings lie in folders by a hash of the term, and in each in the order of term and chunk, so a prompt
     reads its terms' folders and row groups alone. Postings are dealt by ranges of that order: a term of most chunks is
@@ -86,8 +102,8 @@ def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col
     term_counts(chunks, id_col, text_col, drop_placeholders).write.parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
     idf = inverse_frequencies(counts, spark.read.parquet(f"{path}/chunks").count())
-    idf.select("term", "idf", _bucket(F.col("term")).alias("bucket")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    known = spark.read.parquet(f"{path}/terms").select("term", "idf")
+    idf.select("term", "df", "idf", _bucket(F.col("term")).alias("bucket")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    known = spark.read.parquet(f"{path}/terms").select("term", "df", "idf")
     placed = weights(counts, known).withColumn("bucket", _bucket(F.col("term")))
     order = ("bucket", "term", "chunk_id")
     placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.lexical import DIGITS
+from palimpsest.sources.shared import materialized
 
 
 def located(matches: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def papers(matches: DataFrame, chunks: DataFrame, pool_level: str = "section", t
     """
     if pool_level not in ("paper", "section") or top_k_chunks < 1 or top_k_sections < 1:
         raise ValueError("pool_level is paper or section, and the numbers are 1 or more")
-    rows = located(matches, chunks)
+    rows = materialized(located(matches, chunks))  # as few as there are candidates, and used three times
     parts = sections(rows, top_k_chunks)
     if pool_level == "paper":
         scores = _top_mean(rows, ["doc_id"], "score", "rank", top_k_chunks)
@@ -50,6 +51,21 @@ def papers(matches: DataFrame, chunks: DataFrame, pool_level: str = "section", t
     return whole.select("doc_id", F.col("pooled").alias("score"), "n_chunks", listed.alias("sections"), rank.alias("rank"))
 
 
+def chunk_report(matches: DataFrame, chunks: DataFrame, top_k: int = 10) -> DataFrame:
+    """rank, score, chunk_id, doc_id and section of the best chunks, for matches that are not pooled."""
+    where = chunks.select("chunk_id", "doc_id", "section")
+    return where.join(F.broadcast(matches.filter(F.col("rank") <= top_k).select("chunk_id", "score", "rank")), "chunk_id").select("rank", "score", "chunk_id", "doc_id", "section")
+
+
+def any_report(matches: DataFrame, meta: DataFrame, chunks: DataFrame, top_k: int = 10, max_sections: int | None = None) -> DataFrame:
+    """The report of papers, or that of chunks; matches of neither shape are an error."""
+    if "sections" in matches.columns and "doc_id" in matches.columns:
+        return report(matches, meta, top_k, max_sections)
+    if "chunk_id" in matches.columns:
+        return chunk_report(matches, chunks, top_k)
+    raise TypeError("matches are of papers (doc_id, sections) or of chunks (chunk_id)")
+
+
 def report(paper_matches: DataFrame, meta: DataFrame, top_k: int = 10, max_sections: int | None = None) -> DataFrame:
     """rank, doc_id, title, score, n_chunks and section_list of the best papers; untitled sections are not listed."""
     titled = F.filter("sections", lambda s: F.coalesce(s["section"], F.lit("")) != "")

@@ -159,16 +159,31 @@ def usable(samples: DataFrame, unk_ratio: float, pad_ratio: float, length: int)
 def train_valid(samples: DataFrame, id_col: str = "chunk_id", valid_split: float = 0.2, seed: int = 42) -> DataFrame:
     """samples with `part`: exactly int(n * valid_split) rows are valid, those whose seeded hash is lowest.
 
-    The bound is the hash of the last valid row, found by an ordered limit; no row number over all rows is needed.
+    Hashes are counted by their 16 highest bits; the bound lies in one of these ranges, and only the rows of that one, a
+    65,536th of all, are put in order.
     """
     key = F.struct(F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), F.col(id_col).alias("i"))
-    keyed = samples.withColumn("__key", key)
-    n = int(samples.count() * valid_split)
+    keyed = samples.withColumn("__key", key).withColumn("__range", F.shiftright(F.col("__key.h"), 48))
+    counts = keyed.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))  # 65,536 rows at most
+    upto = materialized(counts.select("__range", "n", F.sum("n").over(Window.orderBy("__range")).alias("upto")))
+    n = int((upto.agg(F.max("upto")).first()[0] or 0) * valid_split)
     if n == 0:
         return samples.withColumn("part", F.lit("train"))
-    last = keyed.select("__key").orderBy("__key").offset(n - 1).limit(1).first()["__key"]
+    at = upto.filter(F.col("upto") >= n).orderBy("__range").first()
+    within = n - (at["upto"] - at["n"])
+    last = keyed.filter(F.col("__range") == at["__range"]).select("__key").orderBy("__key").offset(within - 1).limit(1).first()["__key"]
     valid = (F.col("__key.h") < last["h"]) | ((F.col("__key.h") == last["h"]) & (F.col("__key.i") <= last["i"]))
-    return keyed.withColumn("part", F.when(valid, "valid").otherwise("train")).drop("__key")
+    return keyed.withColumn("part", F.when(valid, "valid").otherwise("train")).drop("__key", "__range")
+
+
+def batched(samples: DataFrame, batch: int, id_col: str = "chunk_id", epoch: int = 0, seed: int = 42) -> DataFrame:
+    """samples with `batch` and `place` in the order of a hash of epoch and id; rows that do not fill a last batch are left out.
+
+    The order is numbered by sorted ranges, so no task holds all rows.
+    """
+    rows = _numbered(samples.withColumn("__h", F.xxhash64(F.lit(seed), F.lit(epoch), F.col(id_col))), F.col("__h"), F.col(id_col)).drop("__h")
+    whole = rows.agg(F.count(F.lit(1))).first()[0] // batch * batch
+    return rows.filter(F.col("place") < whole).withColumn("batch", F.expr(f"place div {batch}")).withColumn("place", F.col("place") % batch)
 
 
 def mean_pooled(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:

@@ -15,9 +15,11 @@ from palimpsest.functions import text as tx
 from palimpsest.operators import corpus, dense, encoder, latex, lexical, pooling, vocab
 from palimpsest.plans import statements as sql
 from palimpsest.sources.papers import last_of_each
-from palimpsest.sources.shared import shared_path
+from palimpsest.sources.shared import materialized, shared_path
 
-CANDIDATES = 500
+CANDIDATES = 1000
+#: Indexes written by this process, by application and tables.
+_indexes: dict[tuple[str, str], str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +46,8 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latinize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(_table(spark, sf_dir, "documents"), tx.latinize(F.lower("text")))
+    """Documents, with letters that become several, of other widths and of no Latin kind behind them."""
+    return _digest(_table(spark, sf_dir, "documents"), tx.latinize(F.lower(F.concat("text", F.lit(" \ufb01nite \u2026 \u00bd \uff21\uff22 \u2460 \u03a9 \u2103 \U0001d400")))))
 
 
 def dash_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,17 +146,27 @@ def chunk_filter_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.quality_filtered(_table(spark, sf_dir, "documents").withColumn("text", marked), None, 0.15).select("doc_id")
 
 
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cleaned papers of two sections: the first line and the rest, white space collapsed."""
+    docs = _table(spark, sf_dir, "documents")
+    cut = F.instr("text", "\n")
+    parts = [F.when(cut > 0, F.expr("substring(text, 1, instr(text, '\n'))")).otherwise(F.col("text")), F.when(cut > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(F.lit(""))]
+    section = lambda title, text: F.struct(F.lit(title).alias("title"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+    return docs.select("doc_id", F.col("source").alias("title"), F.array(section("opening", parts[0]), section("rest", parts[1])).alias("sections"))
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus at the operator's own sizes: chunks of 1,500 characters that share 150."""
     skipped = _table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
-    return corpus.build_corpus(_lines(spark, sf_dir), skipped, size=0, overlap=0, min_tokens=16)
+    return corpus.build_corpus(_processed(spark, sf_dir), skipped)
 
 
 def chunk_ids_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark, sf_dir).select("chunk_id", F.col("position").cast("long").alias("position"))
+    return _corpus(spark, sf_dir).select("chunk_id", F.col("local_index").cast("long").alias("local_index"), F.col("position").cast("long").alias("position"))
 
 
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark, sf_dir).select("chunk_id", "doc_id", "title", F.md5("text").alias("digest"), F.col("position").cast("long").alias("position"))
+    return _corpus(spark, sf_dir).select("chunk_id", "doc_id", "title", "section", F.md5("text").alias("digest"), F.col("position").cast("long").alias("position"))
 
 
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,10 +219,13 @@ def prompt_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents through a small encoder with seeded weights."""
-    ids, words = _encoded(spark, sf_dir)
-    shape = encoder.Shape(words.count(), width=64, heads=4, layers=2, inner=128, out=64)
-    inputs, mask = vocab.padded(F.col("ids"), 160)
+    """Every chunk of all documents, at the corpus' own chunk size and the sequence length that fits it, through an encoder with seeded weights that is narrower than the default."""
+    words = materialized(vocab.build_vocab(_table(spark, sf_dir, "documents"), 5))
+    chunks = materialized(corpus.chunked(_table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("chunk_id", F.concat_ws("_", "doc_id", "local_index")))
+    length = corpus.sequence_length(chunks).first()["sequence_length"]
+    ids = vocab.encode(chunks, words)
+    shape = encoder.Shape(words.count(), seq_len=length, width=64, heads=4, layers=2, inner=128, out=64)
+    inputs, mask = vocab.padded(F.col("ids"), length)
     samples = ids.select("chunk_id", inputs.alias("input_ids"), mask.alias("attention_mask"))
     return encoder.embed(samples, encoder.random_weights(shape), shape)
 
@@ -222,6 +238,13 @@ def train_valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.train_valid(_chunks(spark, sf_dir)).select("chunk_id", "part")
 
 
+def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usable samples of the training part in batches of 64, the last one dropped where it is not full."""
+    ids, _ = _encoded(spark, sf_dir)
+    train = vocab.usable(vocab.train_valid(ids).filter("part = 'train'"), 0.4, 0.5, 160)
+    return vocab.batched(train, 64).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
 def mean_pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = vocab.mean_pooled(_table(spark, sf_dir, "embeddings"), "label")
     return pooled.select(F.col("label").cast("long").alias("label"), F.posexplode("pooled").alias("at", "x")).select("label", F.col("at").cast("long").alias("dim"), F.round("x", 6).alias("x"))
@@ -262,21 +285,37 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir).select("chunk_id", F.round("lex_score", 6).alias("score"), F.col("lex_rank").cast("long").alias("rank"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the tables' index, which is written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = shared_path(spark, "index")
+        lexical.write_index(_chunks(spark, sf_dir).select("chunk_id", "text"), path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of an index of all chunks."""
+    return spark.read.parquet(f"{_index(spark, sf_dir)}/terms").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lexical_topk from an index of all chunks."""
-    path = shared_path(spark, "index")
-    lexical.write_index(_chunks(spark, sf_dir).select("chunk_id", "text"), path)
-    return lexical.search_index(spark, path, _prompt(spark, sf_dir), CANDIDATES).select("chunk_id", F.round("lex_score", 6).alias("score"), F.col("lex_rank").cast("long").alias("rank"))
+    """lexical_topk from the index, which this application has, or gets now."""
+    found = lexical.search_index(spark, _index(spark, sf_dir), _prompt(spark, sf_dir), CANDIDATES)
+    return found.select("chunk_id", F.round("lex_score", 6).alias("score"), F.col("lex_rank").cast("long").alias("rank"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with dense scores; those that the table of vectors, a fifth of the documents or more, lacks come last."""
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     query = vectors.filter("chunk_id = 0").first()["embedding"]
-    return dense.dense_scores(_lexical(spark, sf_dir), vectors, query)
+    return dense.dense_scores(_lexical(spark, sf_dir), vectors, query, missing="last")
 
 
 def _matches(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    return dense.rerank(_scored(spark, sf_dir), method)
+    """tfidf needs no vectors; the written candidates of the other methods are ranked several times."""
+    return dense.rerank(_lexical(spark, sf_dir) if method == "tfidf" else materialized(_scored(spark, sf_dir)), method)
 
 
 def _ranked(method: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -301,6 +340,11 @@ def matches_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("rank").cast("long").alias("rank"), "doc_id", "title", F.round("score", 6).alias("score"), "n_chunks", "section_list")
 
 
+def chunk_matches_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pooling.any_report(_matches(spark, sf_dir, "rrf"), None, _chunks(spark, sf_dir), 10)
+    return found.select(F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "chunk_id", "doc_id", "section")
+
+
 def find_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pooling.find(_pooled(spark, sf_dir, "section", 1, 1), ["src0", "src3", "absent"])
     return found.select("doc_id", "present", F.coalesce(F.col("best_rank").cast("long"), F.lit(-1)).alias("best_rank"), F.coalesce(F.round("best_score", 6), F.lit(-1.0)).alias("best_score"))
@@ -311,7 +355,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tokenize_counts, latinize_text, dash_fold, punct_normalize, leftover_symbol_gate, clean_latex, number_masking, placeholder_ladder, macro_extract, macro_expand, macro_merge, paper_sections,
         sections_split, chunk_split, chunk_filter_min_tokens, chunk_filter_placeholder, chunk_ids_positions, corpus_build, corpus_report, seq_length_estimate,
         vocab_build, vocab_capped, vocab_encode, vocab_decode, pad_truncate, prompt_encode, chunk_embeddings, unk_filter, train_valid_split, mean_pool_l2, infonce_loss,
-        metadata_last_wins, skip_anti_join, tfidf_weights, lexical_topk, index_search, matches_report, find_papers,
+        metadata_last_wins, skip_anti_join, tfidf_weights, lexical_topk, index_build, index_search, matches_report, chunk_matches_report, find_papers, train_batches,
     )
     found = {f.__name__: f for f in plain}
     found["dense_scores"] = _ranked("dense")

@@ -31,26 +31,21 @@ _LINES = """
 parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents),
 lines AS (SELECT doc_id, source, unnest(s) AS text, (generate_subscripts(s, 1) - 1)::BIGINT AS section_index FROM parts)
 """
-_CORPUS = rf"""{_LINES},
-stripped AS (SELECT doc_id, source, section_index, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
-bare AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '\S+'), lambda t: upper(trim(t, '.,;:!?()[]{{}}<>"''`'))), lambda t: t <> '') AS b FROM stripped WHERE text <> ''),
-kept AS (SELECT * FROM bare WHERE len({_WORDS}) >= 16 AND (len(b) = 0 OR len(list_filter(b, lambda t: t IN ('MATH', 'NUM', 'EQN', 'CITE', 'REF', 'FIG', 'URL', 'CODE', 'ALG', 'ENV'))) / len(b) <= 0.15)),
-chunks AS (SELECT doc_id || '_s' || section_index || '_c0' AS chunk_id, doc_id, source AS title, text, row_number() OVER (PARTITION BY doc_id ORDER BY section_index) - 1 AS position FROM kept)
-"""
-
-_CHUNKS = r"""
-WITH RECURSIVE docs AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents),
-long AS (SELECT doc_id, s, length(s) AS n FROM docs WHERE length(s) > 600),
+def _split(docs: str, size: int, overlap: int, least: int) -> str:
+    """Tables up to `whole` (doc_id, i, text): the chunks of docs (doc_id, s), s without white space other than single spaces."""
+    tables = r"""
+docs AS (@docs),
+long AS (SELECT doc_id, s, length(s) AS n FROM docs WHERE length(s) > @size),
 walk AS (
   SELECT doc_id, s, n, 0::BIGINT AS i, 0::BIGINT AS start,
-    CASE WHEN strpos(reverse(substr(s, 1, 600)), ' ') BETWEEN 1 AND 599 THEN 600 - strpos(reverse(substr(s, 1, 600)), ' ')
-      WHEN strpos(substr(s, 601), ' ') > 0 THEN 600 + strpos(substr(s, 601), ' ') - 1 ELSE n END AS cut
+    CASE WHEN strpos(reverse(substr(s, 1, @size)), ' ') BETWEEN 1 AND @size_1 THEN @size - strpos(reverse(substr(s, 1, @size)), ' ')
+      WHEN strpos(substr(s, @size1), ' ') > 0 THEN @size + strpos(substr(s, @size1), ' ') - 1 ELSE n END AS cut
   FROM long
   UNION ALL
   SELECT doc_id, s, n, i + 1, next,
-    CASE WHEN next + 600 >= n THEN n
-      WHEN strpos(reverse(substr(s, next + 1, 600)), ' ') BETWEEN 1 AND 599 THEN next + 600 - strpos(reverse(substr(s, next + 1, 600)), ' ')
-      WHEN strpos(substr(s, next + 601), ' ') > 0 THEN next + 600 + strpos(substr(s, next + 601), ' ') - 1 ELSE n END
+    CASE WHEN next + @size >= n THEN n
+      WHEN strpos(reverse(substr(s, next + 1, @size)), ' ') BETWEEN 1 AND @size_1 THEN next + @size - strpos(reverse(substr(s, next + 1, @size)), ' ')
+      WHEN strpos(substr(s, next + @size1), ' ') > 0 THEN next + @size + strpos(substr(s, next + @size1), ' ') - 1 ELSE n END
   FROM (
     SELECT doc_id, s, n, i, CASE WHEN after > start THEN after ELSE cut + (substr(s, cut + 1, 1) = ' ')::BIGINT END AS next
     FROM (
@@ -59,18 +54,40 @@ walk AS (
         SELECT *, CASE WHEN back > 0 AND substr(s, back + 1, 1) <> ' ' AND substr(s, back, 1) <> ' '
           THEN CASE WHEN strpos(substr(s, back + 1, cut - back), ' ') > 0 THEN back + strpos(substr(s, back + 1, cut - back), ' ') - 1 ELSE cut END
           ELSE back END AS word
-        FROM (SELECT *, greatest(cut - 60, 0) AS back FROM walk WHERE cut < n))))
+        FROM (SELECT *, greatest(cut - @overlap, 0) AS back FROM walk WHERE cut < n))))
   WHERE next < n),
 pieces AS (
   SELECT doc_id, i, trim(substr(s, start + 1, cut - start)) AS text, max(i) OVER (PARTITION BY doc_id) AS last FROM walk),
-tails AS (SELECT doc_id, last, text AS tail FROM pieces WHERE i = last AND last > 0 AND length(text) < 300),
+tails AS (SELECT doc_id, last, text AS tail FROM pieces WHERE i = last AND last > 0 AND length(text) < @least),
 joined AS (
-  SELECT p.doc_id, p.i, CASE WHEN t.tail IS NOT NULL AND p.i = t.last - 1 AND ltrim(substr(t.tail, 61)) <> '' THEN trim(p.text || ' ' || ltrim(substr(t.tail, 61))) ELSE p.text END AS text
+  SELECT p.doc_id, p.i, CASE WHEN t.tail IS NOT NULL AND p.i = t.last - 1 AND ltrim(substr(t.tail, @overlap1)) <> '' THEN trim(p.text || ' ' || ltrim(substr(t.tail, @overlap1))) ELSE p.text END AS text
   FROM pieces p LEFT JOIN tails t ON p.doc_id = t.doc_id WHERE t.tail IS NULL OR p.i < t.last),
-whole AS (SELECT doc_id, 0::BIGINT AS i, s AS text FROM docs WHERE length(s) <= 600 UNION ALL SELECT doc_id, i, text FROM joined)
+whole AS (SELECT doc_id, 0::BIGINT AS i, s AS text FROM docs WHERE length(s) <= @size UNION ALL SELECT doc_id, i, text FROM joined)
+"""
+    for name, value in (("@docs", docs), ("@size1", size + 1), ("@size_1", size - 1), ("@size", size), ("@overlap1", overlap + 1), ("@overlap", overlap), ("@least", least)):
+        tables = tables.replace(name, str(value))
+    return tables
+
+
+_COLLAPSED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_CHUNKS = f"""
+WITH RECURSIVE {_split(f"SELECT doc_id, {_COLLAPSED.format('text')} AS s FROM documents", 600, 60, 300)}
 SELECT doc_id, i AS local_index, md5(text) AS digest, length(text)::BIGINT AS n_chars FROM whole
 """
 
+_CORPUS = rf"""
+papers AS (SELECT doc_id, source, CASE WHEN contains(text, chr(10)) THEN strpos(text, chr(10)) ELSE length(text) END AS cut, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+sections AS (
+  SELECT doc_id, source, 0 AS section_index, 'opening' AS section, {_COLLAPSED.format("substr(text, 1, cut)")} AS s FROM papers
+  UNION ALL SELECT doc_id, source, 1, 'rest', {_COLLAPSED.format("substr(text, cut + 1)")} FROM papers),
+{_split("SELECT doc_id || '_s' || section_index AS doc_id, s FROM sections WHERE s <> ''", 1500, 150, 300)},
+bare AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '\S+'), lambda t: upper(trim(t, '.,;:!?()[]{{}}<>"''`'))), lambda t: t <> '') AS b FROM whole),
+kept AS (SELECT * FROM bare WHERE len({_WORDS}) >= 32 AND (len(b) = 0 OR len(list_filter(b, lambda t: t IN ('MATH', 'NUM', 'EQN', 'CITE', 'REF', 'FIG', 'URL', 'CODE', 'ALG', 'ENV'))) / len(b) <= 0.15)),
+chunks AS (
+  SELECT k.doc_id || '_c' || i AS chunk_id, p.doc_id, p.source AS title, p.section, i AS local_index, k.text, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.section_index, i) - 1 AS position
+  FROM kept k JOIN sections p ON k.doc_id = p.doc_id || '_s' || p.section_index)
+"""
+
 _TFIDF = f"""
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT doc_id AS chunk_id, unnest(regexp_extract_all({_SEARCH}, '{_WORD}')) AS term FROM documents) GROUP BY chunk_id, term),
 idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term),
@@ -91,7 +108,7 @@ lex AS (
   SELECT chunk_id, score AS lex_score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_id) AS lex_rank FROM scores
   QUALIFY lex_rank <= {candidates}),
 scored AS (
-  SELECT lex.*, list_inner_product(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS dense FROM lex JOIN embeddings e ON lex.chunk_id = e.vec_id)
+  SELECT lex.*, coalesce(list_inner_product(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), -1.0::DOUBLE) AS dense FROM lex LEFT JOIN embeddings e ON lex.chunk_id = e.vec_id)
 """
 
 
@@ -160,7 +177,7 @@ def statements(candidates: int) -> dict[str, str]:
         "macro_extract": _EXTRACTED,
         "macro_expand": _EXPANDED,
         "tokenize_counts": rf"SELECT doc_id, len({_WORDS})::BIGINT AS n_words, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_runs FROM documents",
-        "latinize_text": _digest(_ASCII.format("text")),
+        "latinize_text": _digest(_ASCII.format("text") + " || ' finite ... 12 ab 1  C A'"),
         "dash_fold": _digest("regexp_replace(text, '[‐-―−﹣－]', '-', 'g')"),
         "punct_normalize": _digest(_PUNCTUATED),
         "leftover_symbol_gate": r"SELECT doc_id, c AS math_symbol_count, c <= 5 AS kept FROM (SELECT doc_id, (length(text) - length(translate(text, '$_^&\', '')))::BIGINT AS c FROM documents)",
@@ -172,8 +189,8 @@ def statements(candidates: int) -> dict[str, str]:
 WITH heads AS (SELECT doc_id, regexp_replace(text, '([.,]) ', '\1 (MATH), code ', 'g') AS text FROM documents),
 bare AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\S+'), lambda t: upper(trim(t, '.,;:!?()[]{}<>"''`'))), lambda t: t <> '') AS b FROM heads)
 SELECT doc_id FROM bare WHERE len(b) = 0 OR len(list_filter(b, lambda t: t IN ('MATH', 'NUM', 'EQN', 'CITE', 'REF', 'FIG', 'URL', 'CODE', 'ALG', 'ENV'))) / len(b) <= 0.15""",
-        "chunk_ids_positions": f"WITH {_CORPUS} SELECT chunk_id, position FROM chunks",
-        "corpus_build": f"WITH {_CORPUS} SELECT chunk_id, doc_id, title, md5(text) AS digest, position FROM chunks",
+        "chunk_ids_positions": f"WITH RECURSIVE {_CORPUS} SELECT chunk_id, local_index, position FROM chunks",
+        "corpus_build": f"WITH RECURSIVE {_CORPUS} SELECT chunk_id, doc_id, title, section, md5(text) AS digest, position FROM chunks",
         "corpus_report": rf"""
 WITH bare AS (SELECT text, list_filter(list_transform(regexp_extract_all(text, '\S+'), lambda t: upper(trim(t, '.,;:!?()[]{{}}<>"''`'))), lambda t: t <> '') AS b FROM documents),
 n AS (SELECT count(*) AS total, count(*) FILTER (WHERE len({_WORDS}) >= 32 AND (len(b) = 0 OR len(list_filter(b, lambda t: t IN ('MATH', 'NUM', 'EQN', 'CITE', 'REF', 'FIG', 'URL', 'CODE', 'ALG', 'ENV'))) / len(b) <= 0.15)) AS kept FROM bare)
@@ -208,6 +225,8 @@ SELECT batch, round(avg(l), 6) AS loss FROM r GROUP BY batch""",
         "skip_anti_join": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)",
         "tfidf_weights": f"WITH {_TFIDF} SELECT chunk_id, term, round(raw / norm, 6) AS weight FROM raw JOIN norm USING (chunk_id)",
         "lexical_topk": f"WITH {_matching(candidates)} SELECT chunk_id, round(lex_score, 6) AS score, lex_rank AS rank FROM lex",
+        "index_build": f"WITH {_TFIDF} SELECT term, (SELECT count(*) FROM tf WHERE tf.term = idf.term) AS df, round(idf, 6) AS idf FROM idf",
+        "chunk_matches_report": f"WITH {_matching(candidates)} SELECT rank, round(score, 6) AS score, chunk_id, source AS doc_id, lang AS section FROM ({_METHODS['rrf']}) JOIN documents ON chunk_id = documents.doc_id WHERE rank <= 10",
         "index_search": f"WITH {_matching(candidates)} SELECT chunk_id, round(lex_score, 6) AS score, lex_rank AS rank FROM lex",
         "dense_scores": ranked["dense"],
         **{f"rerank_{name}": ranked[name] for name in ("tfidf", "pin_top", "fusion", "rrf")},

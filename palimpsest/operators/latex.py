@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from palimpsest.functions import latex as tex
 from palimpsest.functions.text import leftover_symbols
+from palimpsest.sources.shared import materialized
 
 MACROS = T.StructType([T.StructField(k, T.MapType(T.StringType(), T.IntegerType() if k == "arg" else T.StringType())) for k in ("noarg", "arg", "env", "delim")])
 SECTIONS = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
@@ -70,7 +71,8 @@ def processed_papers(archives: DataFrame, metadata: DataFrame, skip_threshold: i
     """(processed, skipped) of archives (doc_id, files map<path, text>) that have metadata (doc_id, ...).
 
     processed: metadata and sections of papers with skip_threshold leftover symbols or fewer; skipped: doc_id and
-    math_symbol_count of the others. Papers without a main file are in neither.
+    math_symbol_count of the others. Papers without a main file are in neither. Archives are parsed once: what both
+    tables come from is written to the shared folder.
     """
     rows = archives.join(metadata.select("doc_id"), "doc_id", "left_semi").select("doc_id", "files")
     schema = T.StructType([archives.schema["doc_id"], T.StructField("sections", SECTIONS)])
@@ -82,6 +84,6 @@ def processed_papers(archives: DataFrame, metadata: DataFrame, skip_threshold: i
 
     parsed = rows.mapInPandas(run, schema)
     whole = F.array_join(F.transform("sections", lambda s: s["text"]), " ")
-    counted = parsed.withColumn("math_symbol_count", leftover_symbols(whole))
+    counted = materialized(parsed.withColumn("math_symbol_count", leftover_symbols(whole)))
     good = counted.filter(F.col("math_symbol_count") <= skip_threshold).drop("math_symbol_count")
     return metadata.join(good, "doc_id"), counted.filter(F.col("math_symbol_count") > skip_threshold).select("doc_id", "math_symbol_count")

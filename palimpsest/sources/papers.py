@@ -28,14 +28,14 @@ SKIPPED = T.StructType([T.StructField("arxiv_id", T.StringType()), T.StructField
 CHUNKS = "chunk_id string, doc_id string, title string, section string, text string, position int, authors array<string>, categories array<string>, dates struct<submitted: string, updated: string>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata lines: a missing file is empty, malformed lines and those without an id are ignored, of an id the last counts."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], METADATA)
     rows = spark.read.schema(METADATA).option("mode", "DROPMALFORMED").json(path).filter(F.col("arxiv_id").isNotNull())
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
@@ -50,7 +50,7 @@ def last_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def read_skipped(spark: SparkSession, path: str) -> DataFrame:
     """Skip lines: malformed ones are ignored."""
-    return spark.read.schema(SKIPPED).option("mode", "DROPMALFORMED").json(path) if _exists(spark, path) else spark.createDataFrame([], SKIPPED)
+    return spark.read.schema(SKIPPED).option("mode", "DROPMALFORMED").json(path) if exists(spark, path) else spark.createDataFrame([], SKIPPED)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +67,7 @@ def write_chunks(chunks: DataFrame, path: str, overwrite: bool = False, layout:
 def append_new(rows: DataFrame, path: str, key: str) -> None:
     """Appends the rows whose key the table does not have; a table that does not exist is made."""
     spark = rows.sparkSession
-    if _exists(spark, path):
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
     rows.write.mode("append").parquet(path)
 

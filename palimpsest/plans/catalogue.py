@@ -113,7 +113,7 @@ def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = _papers(spark, sf_dir)
     archives = papers.select("doc_id", F.create_map(F.lit("main.tex"), F.col("latex")).alias("files"))
     processed, _ = latex.processed_papers(archives, papers.select("doc_id", F.col("source").alias("title")))
-    return processed.select("doc_id", "title", F.posexplode("sections").alias("section_index", "s")).select("doc_id", "title", "section_index", F.col("s.title").alias("section"), F.col("s.text").alias("text"))
+    return processed.select("doc_id", "title", F.posexplode("sections").alias("section_index", "s")).select("doc_id", "title", F.col("section_index").cast("long").alias("section_index"), F.col("s.title").alias("section"), F.col("s.text").alias("text"))
 
 
 # --- corpus ---

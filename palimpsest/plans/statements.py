@@ -144,14 +144,48 @@ papers AS (
 """
 
 
-# Texts are cut into runs joined by dots (with a dot that follows) and single other characters; a run is judged by itself.
-_MASKED = r"""
-WITH parts AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*\.?|[^0-9A-Za-z]') AS p FROM documents),
-cut AS (SELECT doc_id, list_transform(p, lambda t: {'t': t, 'dot': t[-1] = '.' AND len(t) > 1, 'runs': string_split(CASE WHEN t[-1] = '.' AND len(t) > 1 THEN t[:-2] ELSE t END, '.')}) AS p FROM parts),
-judged AS (SELECT doc_id, list_transform(p, lambda x: {'x': x, 'first': list_position(list_transform(x.runs, lambda r, i: regexp_matches(r, '[0-9]') AND NOT (i = len(x.runs) AND NOT x.dot
-  AND (regexp_full_match(r, '[A-Za-z]{0,3}([0-9]|10|11|26)') OR regexp_full_match(r, '([0-9]|10|11|26)[A-Za-z]')))), true)}) AS p FROM cut)
-SELECT doc_id, array_to_string(list_transform(p, lambda y: CASE WHEN coalesce(y.first, 0) = 0 THEN y.x.t
-  ELSE array_to_string(list_append(y.x.runs[1:y.first - 1], ' @@num@@ '), '.') || CASE WHEN y.x.dot THEN '.' ELSE '' END END), '') AS masked FROM judged"""
+def _masked(docs: str) -> str:
+    """Tables up to `masked` (doc_id, masked) of docs (doc_id, text): texts are cut into runs joined by dots (with a dot that follows) and single other characters; a run is judged by itself."""
+    return rf"""
+parts AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z]+(?:\.[0-9A-Za-z]+)*\.?|[^0-9A-Za-z]') AS p FROM ({docs})),
+cut AS (SELECT doc_id, list_transform(p, lambda t: {{'t': t, 'dot': t[-1] = '.' AND len(t) > 1, 'runs': string_split(CASE WHEN t[-1] = '.' AND len(t) > 1 THEN t[:-2] ELSE t END, '.')}}) AS p FROM parts),
+judged AS (SELECT doc_id, list_transform(p, lambda x: {{'x': x, 'first': list_position(list_transform(x.runs, lambda r, i: regexp_matches(r, '[0-9]') AND NOT (i = len(x.runs) AND NOT x.dot AND {_STAYS.format("r")})), true)}}) AS p FROM cut),
+masked AS (
+  SELECT doc_id, array_to_string(list_transform(p, lambda y: CASE WHEN coalesce(y.first, 0) = 0 THEN y.x.t
+    ELSE array_to_string(list_append(y.x.runs[1:y.first - 1], ' @@num@@ '), '.') || CASE WHEN y.x.dot THEN '.' ELSE '' END END), '') AS masked FROM judged)"""
+
+
+_STAYS = "(regexp_full_match({0}, '[A-Za-z]{{0,3}}([0-9]|10|11|26)') OR regexp_full_match({0}, '([0-9]|10|11|26)[A-Za-z]'))"
+
+
+def _replaced(text: str, *pairs: tuple[str, str]) -> str:
+    for pattern, by in pairs:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+def _cleaned() -> str:
+    """Tables up to `cleaned` (doc_id, source, lang, c): what the rules make of a text without LaTeX and slashes, whose only placeholders are numbers and keys."""
+    bare = r"""regexp_replace(regexp_replace(replace(translate(translate(text, '\{}$%', ''), '"''`', ''), '~', ' '), '\[\s*\]', ' ', 'g'), '\*?\b[A-Za-z]+:\d{4}[A-Za-z0-9]*\b', ' @@cite@@ ', 'g')"""
+    mark, tight = "(@@[a-z]+@@)", ((r"([(\[])\s+(@@[a-z]+@@)", r"\1\2"), (r"(@@[a-z]+@@)\s+([.,:;!?)\]])", r"\1\2"))
+    lists = ((rf"{mark}\s*[,:;/-]\s*{mark}", r"\1 \2"), (rf"{mark}\s*,?\s*\b(?:and|or)\b\s*{mark}", r"\1 \2"))
+    turn = (*tight, *lists * 2, (r"@@cite@@\s+@@num@@", "@@num@@"), (r"@@num@@\s+@@cite@@", "@@num@@"), (rf"{mark}(?:\s+@@[a-z]+@@)+", r"\1"), (rf"[(\[]\s*{mark}\s*[)\]]", r"\1"), *tight)
+    rules = (
+        *((f"[{c}]{{2,}}", c) for c in "-/:.,;!?="), (r"\s*=\s*", " = "), (r",\s*,+", ","), (r"[.,]*\.", "."), (r"(\S)-(\s)", r"\1 \2"), (r"(\s)-(\S)", r"\1 \2"), *turn * 3,
+        (rf"(\w){mark}", r"\1 \2"), (rf"{mark}(\w|[(\[])", r"\1 \2"), (r"\s+([.,:;)\]])", r"\1"), (r"([\[(])\s+", r"\1"), (r"\s+", " "),
+    )
+    plain = f"replace(replace({_ASCII.format(_replaced('masked', *rules))}, '@@num@@', 'NUM'), '@@cite@@', 'CITE')"
+    return f"{_masked(f'SELECT doc_id, {bare} AS text FROM documents')}, cleaned AS (SELECT doc_id, source, lang, trim({plain}) AS c FROM masked JOIN documents USING (doc_id))"
+
+
+_MASKED = f"WITH {_masked('SELECT doc_id, text FROM documents')} SELECT doc_id, masked FROM masked"
+
+_CLEANED = f"""WITH {_cleaned()}
+SELECT doc_id, CASE WHEN {_STAYS.format("source")} THEN source ELSE 'NUM' END || ' [2]#1#2 #1 x eqs EQN ' || c || ' x and MATH in NUM, see CITE. ab a = b end y' AS cleaned FROM cleaned"""
+
+_SECTIONS = rf"""WITH {_cleaned()}, good AS (SELECT * FROM cleaned WHERE length(c) - length(translate(c, '$_^&\\', '')) <= 5)
+SELECT doc_id, source AS title, 0::BIGINT AS section_index, 'Opening' AS section, c || ' x and MATH in NUM, see CITE. ' || CASE WHEN {_STAYS.format("source")} THEN source || ' ENV' ELSE 'NUM' END AS text FROM good
+UNION ALL SELECT doc_id, source, 1, lang, 'end ENV' FROM good"""
 
 # What the rules make of the query's placeholders, by hand: before the text (MATH), EQN and REF are one EQN; behind it NUM, URL and CITE are one NUM.
 _LADDER = r"""
@@ -173,6 +207,8 @@ def statements(candidates: int) -> dict[str, str]:
     missing = "greatest(160 - len(ids), 0)"
     return {
         "number_masking": _MASKED,
+        "clean_latex": _CLEANED,
+        "paper_sections": _SECTIONS,
         "placeholder_ladder": _LADDER,
         "macro_extract": _EXTRACTED,
         "macro_expand": _EXPANDED,

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The paths that this process has made and not removed, oldest first.
-_made: list[str] = []
+
+class _Made(threading.local):
+    """The paths that a thread has made and not removed, oldest first: threads do not remove each other's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder, among those of the application."""
     path = f"{shared_folder(spark)}/{kind}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.paths.append(path)
     return path
 
 
@@ -38,8 +46,8 @@ def materialized(df: DataFrame, kind: str = "tables") -> DataFrame:
 
 
 def made() -> list[str]:
-    """The paths made so far; what is made later may be given to `removed` once it is not read any more."""
-    return list(_made)
+    """The paths that this thread has made so far; what it makes later may be given to `removed` once it is not read any more."""
+    return list(_made.paths)
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
@@ -47,5 +55,5 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        if path in _made:
-            _made.remove(path)
+        if path in _made.paths:
+            _made.paths.remove(path)

@@ -224,7 +224,7 @@ def chunk_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = materialized(corpus.chunked(_table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("chunk_id", F.concat_ws("_", "doc_id", "local_index")))
     length = corpus.sequence_length(chunks).first()["sequence_length"]
     ids = vocab.encode(chunks, words)
-    shape = encoder.Shape(words.count(), width=64, heads=4, layers=2, inner=128, out=64)
+    shape = encoder.Shape(words.count(), width=32, heads=4, layers=1, inner=64, out=64)
     inputs, mask = vocab.padded(F.col("ids"), length)
     samples = ids.select("chunk_id", inputs.alias("input_ids"), mask.alias("attention_mask"))
     return encoder.embed(samples, encoder.random_weights(shape), shape)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from palimpsest.operators import vocab
 
@@ -34,3 +35,25 @@ def test_decode_without_broadcast(spark):
     ids = vocab.encode(chunks, words)
     joined = vocab.decode(ids, words, vocab_limit=0)
     assert sorted(joined.collect()) == sorted(vocab.decode(ids, words).collect()) == [(1, "b a a c"), (2, ""), (3, "")]
+
+
+def test_encode_with_rare_words_joined(spark):
+    """A vocabulary beyond what is broadcast, or with long words, gives the same ids and texts; the texts stay where they are if it is not."""
+    chunks = spark.createDataFrame([(1, "b a a c d " + "x" * 50), (2, ""), (3, None), (4, "e d c b a " * 3 + "none")], "chunk_id long, text string")
+    words = vocab.build_vocab(chunks, 1).filter("token <> 'none'")
+    numbers = {r.token: r.id for r in words.collect()}
+    expected = [(r.chunk_id, [numbers.get(w, vocab.UNK) for w in (r.text or "").split()]) for r in chunks.collect()]
+    for most in (0, 4, 100):
+        ids = vocab.encode(chunks, words, vocab_limit=most)
+        assert sorted(map(tuple, ids.collect())) == expected
+        texts = [(i, " ".join(w for w in (t or "").split() if w in numbers)) for i, t in chunks.collect()]
+        assert sorted(map(tuple, vocab.decode(ids, words, vocab_limit=most).collect())) == texts
+
+
+def test_large_vocabulary_needs_no_shuffle_of_words(spark):
+    """With 250,000 different tokens, each still looked up where its text lies."""
+    chunks = spark.range(2500).select(F.col("id").alias("chunk_id"), F.expr("array_join(transform(sequence(0, 199), x -> concat('w', translate(cast((id * 100 + x) % 250000 as string), '0123456789', 'abcdefghij'))), ' ')").alias("text"))
+    words = vocab.build_vocab(chunks, 1)
+    ids = vocab.encode(chunks, words)
+    assert words.count() == 250_002 and "Exchange" not in ids._jdf.queryExecution().executedPlan().toString()
+    assert ids.select(F.explode("ids").alias("i")).groupBy("i").count().agg(F.count("*"), F.min("i"), F.max("i")).first()[:3] == (250_000, 2, 250_001)

@@ -57,3 +57,16 @@ def test_large_vocabulary_needs_no_shuffle_of_words(spark):
     ids = vocab.encode(chunks, words)
     assert words.count() == 250_002 and "Exchange" not in ids._jdf.queryExecution().executedPlan().toString()
     assert ids.select(F.explode("ids").alias("i")).groupBy("i").count().agg(F.count("*"), F.min("i"), F.max("i")).first()[:3] == (250_000, 2, 250_001)
+
+
+def test_batches_of_ids_alone(spark, monkeypatch):
+    """train_batches puts ids in order, not samples, and has the batches that whole samples have."""
+    from palimpsest.plans import catalogue
+    from tests.conftest import DATA
+
+    real, given = vocab.batched, []
+    monkeypatch.setattr(catalogue.vocab, "batched", lambda samples, *a: given.append(samples.columns) or real(samples, *a))
+    found = sorted(map(tuple, catalogue.train_batches(spark, DATA).collect()))
+    ids, _ = catalogue._encoded(spark, DATA)
+    whole = real(vocab.usable(vocab.train_valid(ids).filter("part = 'train'"), 0.4, 0.5, 160), 64).groupBy("batch").count()
+    assert given == [["chunk_id"]] and found == sorted(map(tuple, whole.collect()))

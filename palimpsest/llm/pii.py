@@ -266,4 +266,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return (out, [masked_text(t, s) for t, s in zip(texts, spans, strict=True)]) if masked else (out,)
 
     fields = [("spans", T.ArrayType(SPAN)), ("masked_text", T.StringType())]
-    return arrow_map(rows, run, fields if masked else fields[:1], at_once=1 << 19)
+    return arrow_map(rows, run, fields if masked else fields[:1], at_once=1 << 20)

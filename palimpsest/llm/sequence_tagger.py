@@ -165,57 +165,53 @@ class Tagger:
     # --- decoding ---
 
     def _side(self, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For decoding: embeddings with a constant, weights of gates by embedding and state, output weights; features come first, and gates are halved where a sigmoid is made from a tanh."""
+        """For decoding: embeddings, weights of gates by embedding, a constant and state, output weights by the constant and state; gates are halved where a sigmoid is made from a tanh."""
         n, embed = self.hidden, self.p["embed"]
         half = np.ones(4 * n, np.float32)
         half[: 3 * n] = 0.5
         w = np.concatenate([self.p[f"w{side}"][: embed.shape[1]], self.p[f"b{side}"][None], self.p[f"w{side}"][embed.shape[1] :]]) * half
-        out = self.p["out"][:n] if side == "f" else self.p["out"][n:]
-        return np.ascontiguousarray(np.concatenate([embed, np.ones((len(embed), 1), np.float32)], 1).T), np.ascontiguousarray(w.T), np.ascontiguousarray(out.T)
+        out = np.concatenate([self.p["out_b"][None], self.p["out"][:n]] if side == "f" else [np.zeros((1, TAGS), np.float32), self.p["out"][n:]])
+        return np.ascontiguousarray(embed.T), np.ascontiguousarray(w.T), np.ascontiguousarray(out.T)
 
-    def _pass(self, x: np.ndarray, active: np.ndarray, side: str) -> np.ndarray:
-        """What one direction adds to the scores: time, tag, window. x: time, window."""
+    def _pass(self, x: np.ndarray, steps: list[tuple[int, int]], side: str, scores: np.ndarray) -> None:
+        """Adds one direction's part to scores: time, tag, window. x: time, window; steps: times in turn, and how many of the first windows are read at each."""
         embed, weights, out = self._side(side)
-        n, e = self.hidden, len(embed)
-        scores = np.zeros((len(x), TAGS, x.shape[1]), np.float32)
-        joined, c = np.zeros((e + n, x.shape[1]), np.float32), np.zeros((n, x.shape[1]), np.float32)
-        for t, k in enumerate(active):
-            if k < joined.shape[1]:  # windows that end are the last ones
-                joined, c = np.ascontiguousarray(joined[:, :k]), np.ascontiguousarray(c[:, :k])
-            np.take(embed, x[t, :k], axis=1, out=joined[:e], mode="clip")
-            z = weights @ joined
+        n, e, k = self.hidden, len(embed), -1
+        whole, cells, room = np.zeros((e + 1 + n, x.shape[1]), np.float32), np.zeros((n, x.shape[1]), np.float32), np.empty((4 * n, x.shape[1]), np.float32)
+        whole[e] = 1
+        for t, now in steps:
+            if now != k:
+                k = now
+                joined, c, z = whole[:, :k], cells[:, :k], room[:, :k]
+                seen, known, h = joined[:e], joined[e:], joined[e + 1 :]
+                gates, i, f, o, g = z[: 3 * n], z[:n], z[n : 2 * n], z[2 * n : 3 * n], z[3 * n :]
+            embed.take(x[t, :k], axis=1, out=seen, mode="clip")
+            np.matmul(weights, joined, out=z)
             np.tanh(z, out=z)
-            gates = z[: 3 * n]
-            gates *= 0.5
-            gates += 0.5
-            c *= gates[n : 2 * n]
-            gates[:n] *= z[3 * n :]
-            c += gates[:n]
-            np.tanh(c, out=joined[e:])
-            joined[e:] *= gates[2 * n :]
-            scores[t, :, :k] = out @ joined[e:]
-        return scores
+            np.multiply(gates, 0.5, out=gates)
+            np.add(gates, 0.5, out=gates)
+            np.multiply(c, f, out=c)
+            np.multiply(i, g, out=i)
+            np.add(c, i, out=c)
+            np.tanh(c, out=h)
+            np.multiply(h, o, out=h)
+            scores[t, :, :k] += out @ known
 
-    def window_scores(self, windows: list[np.ndarray]) -> np.ndarray:
-        """Scores of the tags for each character of windows, of which none is longer than the one before: time, tag, window."""
-        lengths = np.array([len(w) for w in windows])
-        time, full = int(lengths[0]), int((lengths == lengths[0]).sum())
-        active = np.searchsorted(-lengths, -np.arange(time), side="left")  # windows that are longer than t
-        x = np.zeros((len(windows), time), np.intp)
-        for k, w in enumerate(windows):
-            x[k, : len(w)] = w
-        scores = self._pass(np.ascontiguousarray(x.T), active, "f")
-        scores += self.p["out_b"][None, :, None]
-        for k, w in enumerate(windows):
-            x[k, : len(w)] = w[::-1]
-        back = self._pass(np.ascontiguousarray(x.T), active, "b")
-        scores[:, :, :full] += back[::-1, :, :full]
-        for k in range(full, len(windows)):
-            scores[: lengths[k], :, k] += back[: lengths[k], :, k][::-1]
+    def window_scores(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Scores of the tags for the characters from first to last of windows: time, tag, window. x: time, window; no window is longer than the one before.
+
+        Each direction ends where no window has characters of its own any more: what follows would not be used.
+        """
+        scores = np.zeros((len(x), TAGS, x.shape[1]), np.float32)
+        longest = np.maximum.accumulate(last[::-1])[::-1]  # of a window and those behind it
+        times = np.arange(len(x))
+        ahead, behind = (np.searchsorted(-n, -times, side="left").tolist() for n in (longest, length))
+        self._pass(x, [(t, k) for t, k in enumerate(ahead) if k], "f", scores)
+        self._pass(x, [(t, behind[t]) for t in range(len(x) - 1, int(first.min()) - 1, -1)], "b", scores)
         return scores
 
-    def undecided(self, scores: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Which characters of texts (scores: character, tag; ends: behind each text) may have another tag than 0 on the best path.
+    def undecided(self, lead: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which characters of texts (lead: of the best other tag over tag 0, for each character; ends: behind each text) may have another tag than 0 on the best path.
 
         A stretch of other tags gains, against tag 0 throughout, at most what entering and leaving it gain and, for each
         character, its best tag's lead over tag 0 and the best transition's. A character is decided if no stretch around
@@ -223,43 +219,62 @@ class Tagger:
         """
         t = self.p["trans"].astype(np.float64) - float(self.p["trans"][0, 0])
         inner, edges = float(t[1:, 1:].max()), float(t[0, 1:].max() + t[1:, 0].max())
-        gain = (scores[:, 1:].max(1) - scores[:, 0]).astype(np.float64) + inner
-        sums = np.concatenate([[0.0], np.cumsum(gain)])
-        most = np.empty(len(gain))
+        sums = np.zeros(len(lead) + 1)
+        np.cumsum(lead + inner, out=sums[1:])
+        most = np.empty(len(lead))
         for s, e in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
             before = np.minimum.accumulate(sums[s:e])  # the least sum before each character, itself excluded
             behind = np.maximum.accumulate(sums[s + 1 : e + 1][::-1])[::-1]
             most[s:e] = behind - before
         return most + edges - inner > -1e-3  # a stretch has one inner transition less than characters
 
-    def tags(self, texts: list[str], at_once: int = 1024) -> list[list[tuple[int, np.ndarray]]]:
-        """For each text the stretches (start, tags) that hold all tags other than 0 on its best path."""
-        windows = []  # length, text, start, first and last character that is its own
-        for i, text in enumerate(texts):
-            starts = range(0, max(1, len(text) - OVERLAP), WINDOW - OVERLAP) if text else ()
-            for s in starts:
-                end = min(len(text), s + WINDOW)
-                windows.append((end - s, i, s, s + OVERLAP // 2 if s else 0, end if end == len(text) else end - OVERLAP // 2))
-        windows.sort(key=lambda w: -w[0])
-        classes = [classes_of(t) for t in texts]
-        ends = np.cumsum([len(t) for t in texts])
-        merged = np.empty((int(ends[-1]) if len(texts) else 0, TAGS), np.float32)
-        for at in range(0, len(windows), at_once):
-            some = windows[at : at + at_once]
-            scores = self.window_scores([classes[i][s : s + n] for n, i, s, _, _ in some])
-            for k, (_, i, s, first, last) in enumerate(some):
-                offset = ends[i] - len(texts[i])
-                merged[offset + first : offset + last] = scores[first - s : last - s, :, k]
+    def tags(self, texts: list[str], at_once: int = 720) -> list[list[tuple[int, np.ndarray]]]:
+        """For each text the stretches (start, tags) that hold all tags other than 0 on its best path.
+
+        at_once windows are read together; where their number is a power of two, the rows of the arrays share cache lines and all is slower.
+        """
         out: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
-        place = np.flatnonzero(self.undecided(merged, ends)) if len(merged) else np.zeros(0, np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        if not sizes.sum():
+            return out
+        stride = WINDOW - OVERLAP
+        n = np.where(sizes > 0, np.maximum(1, -((OVERLAP - sizes) // stride)), 0)  # windows of each text
+        text, before = np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n
+        start = (np.arange(len(text)) - before[text]) * stride
+        length = np.minimum(sizes[text] - start, WINDOW)
+        # The first and last character of a window that is its own.
+        first, last = np.where(start > 0, OVERLAP // 2, 0), np.where(start + length < sizes[text], length - OVERLAP // 2, length)
+        start += (ends - sizes)[text]
+        order = np.lexsort((last, -first, -length))
+        codes, lead, kept = np.concatenate([classes_of(t) for t in texts]), np.empty(int(ends[-1])), []
+        for at in range(0, len(order), at_once):
+            some = order[at : at + at_once]
+            x = np.take(codes, start[some] + np.arange(length[some[0]])[:, None], mode="clip").astype(np.intp)
+            scores = self.window_scores(x, length[some], first[some], last[some])
+            kept.append(scores)
+            leads = np.ascontiguousarray((scores[:, 1:].max(1) - scores[:, 0]).T)
+            for own, s, a, b in zip(leads, start[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+                lead[s + a : s + b] = own[a:b]
+        place = np.flatnonzero(self.undecided(lead, ends))
         if not len(place):
             return out
         owner = np.searchsorted(ends, place, side="right")
         cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(place) != 1)) + 1
-        first, last = np.concatenate([[0], cuts]).astype(int), np.concatenate([cuts, [len(place)]]).astype(int)
-        for s, tags in zip(first, self._viterbi(merged[place], first, last), strict=True):
+        begin, end = np.concatenate([[0], cuts]).astype(int), np.concatenate([cuts, [len(place)]]).astype(int)
+        # Of each such character the window whose own it is, and the window's place among those kept.
+        inside = place - (ends - sizes)[owner]
+        window = before[owner] + np.clip((inside - OVERLAP // 2) // stride, 0, n[owner] - 1)
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = np.arange(len(order))
+        group, column = np.divmod(ranks[window], at_once)
+        merged = np.empty((len(place), TAGS), np.float32)
+        for k in np.unique(group):
+            own = np.flatnonzero(group == k)
+            merged[own] = kept[k][place[own] - start[window[own]], :, column[own]]
+        for s, tags in zip(begin, self._viterbi(merged, begin, end), strict=True):
             i = owner[s]
-            out[i].append((int(place[s] - ends[i] + len(texts[i])), tags))
+            out[i].append((int(inside[s]), tags))
         return out
 
     def _viterbi(self, score: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:

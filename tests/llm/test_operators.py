@@ -298,6 +298,16 @@ def test_search_of_whole_texts(tagger):
             assert found.tolist() == plain_tags(tagger, text).tolist()
 
 
+def test_each_direction_ends_with_a_windows_own_characters(tagger, monkeypatch):
+    """Seven characters are read for six of a text, and the same tags found whatever the number of windows at once."""
+    text, read, tanh = pii.Inventor(6).text(3000, 0.1)[0], [], np.tanh
+    found = [[(s, t.tolist()) for s, t in tagger.tags([text, text[:448], text[:449], text[:65]], at_once=k)[0]] for k in (2, 50, 720)]
+    assert found[0] == found[1] == found[2]
+    monkeypatch.setattr(np, "tanh", lambda x, *a, **k: (read.append(x.size), tanh(x, *a, **k))[1])
+    tagger.tags([text])
+    assert sum(read) <= 2 * 5 * tagger.hidden * 1.2 * len(text)
+
+
 def test_tagger_on_planted_data(tagger, docs):
     """Data in forms that the base patterns miss, planted in clean documents at other seeds than those learnt from."""
     inventor, clean = pii.Inventor(77), [t for t in docs.text if not re.search("[0-9@]", t)]

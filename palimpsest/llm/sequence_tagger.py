@@ -203,11 +203,12 @@ class Tagger:
         Each direction ends where no window has characters of its own any more: what follows would not be used.
         """
         scores = np.zeros((len(x), TAGS, x.shape[1]), np.float32)
-        longest = np.maximum.accumulate(last[::-1])[::-1]  # of a window and those behind it
+        latest, soonest = np.maximum.accumulate(last[::-1])[::-1], np.minimum.accumulate(first[::-1])[::-1]  # of a window and those behind it
         times = np.arange(len(x))
-        ahead, behind = (np.searchsorted(-n, -times, side="left").tolist() for n in (longest, length))
-        self._pass(x, [(t, k) for t, k in enumerate(ahead) if k], "f", scores)
-        self._pass(x, [(t, behind[t]) for t in range(len(x) - 1, int(first.min()) - 1, -1)], "b", scores)
+        ahead = np.searchsorted(-latest, -times, side="left")
+        back = np.minimum(np.searchsorted(-length, -times, side="left"), np.searchsorted(soonest, times, side="right"))
+        self._pass(x, [(t, k) for t, k in enumerate(ahead.tolist()) if k], "f", scores)
+        self._pass(x, [(t, k) for t, k in reversed(list(enumerate(back.tolist()))) if k], "b", scores)
         return scores
 
     def undecided(self, lead: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -246,7 +247,7 @@ class Tagger:
         # The first and last character of a window that is its own.
         first, last = np.where(start > 0, OVERLAP // 2, 0), np.where(start + length < sizes[text], length - OVERLAP // 2, length)
         start += (ends - sizes)[text]
-        order = np.lexsort((last, -first, -length))
+        order = np.lexsort((first, -last, -length))
         codes, lead, kept = np.concatenate([classes_of(t) for t in texts]), np.empty(int(ends[-1])), []
         for at in range(0, len(order), at_once):
             some = order[at : at + at_once]

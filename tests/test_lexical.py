@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import terms
 from palimpsest.functions.text import PLACEHOLDERS
-from palimpsest.operators import lexical
+from palimpsest.operators import lexical, lookup
 from tests.conftest import DATA
 
 TEXTS = ["b a a c d " + "x" * 50, "", None, "e d c b a " * 3 + "none", "x" * 50 + " a e", "a"]
@@ -76,3 +78,18 @@ def test_frequencies_are_found_outside_columns(spark):
     dfs = lexical.document_frequencies(chunks)
     for made in (dfs, lexical.weights(chunks, dfs, len(TEXTS))):
         assert "regexp_extract_all" not in made._jdf.queryExecution().executedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("kind", ["string", "int64"])
+def test_sorted_keys(kind):
+    """Places are those of a table of all keys, which is not built for each batch any more."""
+    if kind == "string":
+        keys = pa.array([f"{i * 7919 % 600_011:x}"[::-1] + ("é" if i % 3 else "") for i in range(600_000)] + ["\x00", "y" * 32, "x" * 31])
+        asked = pa.array(keys.take(pa.array(range(0, len(keys), 97))).to_pylist() + ["", None, "y" * 31, "y" * 33, "\x00", "absent", "zz" * 9])
+    else:
+        keys, asked = pa.array([i * 7919 % 600_011 for i in range(600_000)]), pa.array([0, None, -1, 600_010, 7919, 10**12, 599_999])
+    values = pa.array(range(len(keys)))
+    made = pickle.loads(pickle.dumps(lookup.Sorted(keys, values)))
+    assert made.values.take(made.places(asked)) == values.take(pc.index_in(asked, value_set=keys))
+    assert made.places(asked[3:6]) == made.places(asked)[3:6]  # of a part of an array, too
+    assert lookup.Sorted(keys[:0], values[:0]).places(asked).null_count == len(asked)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import encoder, lexical, vocab
+from palimpsest.sources.shared import materialized
 
 
 def plain_forward(w, shape, ids):
@@ -105,3 +107,23 @@ def test_index_search(spark, tmp_path):
         assert [tuple(r) for r in lexical.search_index(spark, path, prompt, most).orderBy("lex_rank").collect()] == expected
     with pytest.raises(Exception, match="(?i)exists"):
         lexical.write_index(chunks, path)
+
+
+def test_rows_share_no_work():
+    """A row's vector is the same however many are encoded with it, and no more rows of scores are held than a core's cache has room for."""
+    shape = encoder.Shape(50, width=32, heads=4, layers=2, inner=64, out=16)
+    weights, rng = encoder.random_weights(shape), np.random.default_rng(1)
+    mask = (np.arange(320) < rng.integers(0, 320, 9)[:, None]).astype(np.int32)
+    ids = rng.integers(0, 50, mask.shape) * mask
+    whole = encoder.forward(weights, shape, ids, mask)
+    for i in range(0, 9, encoder.ROWS):
+        assert encoder.forward(weights, shape, ids[i : i + encoder.ROWS], mask[i : i + encoder.ROWS]) == pytest.approx(whole[i : i + encoder.ROWS], abs=1e-5)
+    assert encoder.ROWS * shape.heads * 320**2 * 4 <= 1 << 22
+
+
+def test_small_blocks(spark):
+    """A written table of one file can be read by several tasks."""
+    made = spark.range(0, 60_000, 1, 1).selectExpr("id", "sha2(cast(id as string), 256) AS text")
+    read = materialized(made, block=1 << 18)
+    folder = read.inputFiles()[0].removeprefix("file://")
+    assert pq.ParquetFile(folder).num_row_groups > 4 and read.count() == 60_000

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import LOWER, arrow_map, bloom, col, filter_log2, probed, small_batches, written
+from palimpsest.llm.common import LOWER, arrow_map, bloom, col, filter_log2, given_back, probed, small_batches, written
 from palimpsest.sources.shared import made, removed
 
 #: Odd multipliers, one for each place in a shingle and each order.
@@ -170,7 +170,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
     small_batches(both.sparkSession)
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(lambda batches: given_back(run(batches)), "a binary, b binary")
 
 
 def _lists(column: pa.ListArray) -> list[np.ndarray]:

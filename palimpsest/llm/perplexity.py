@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import col, small_batches, split_batch, written
+from palimpsest.llm.common import col, given_back, small_batches, split_batch, written
 
 ORDER = 5
 EDGES = "\0" * (ORDER - 1)
 UNIT = 1 << 20
-#: Characters that are hashed at a time, and n-grams that a task gathers before it sums them up.
-SLICE, GATHERED = 1 << 19, 1 << 20
+#: Characters that are hashed at a time, n-grams of a language that a task gathers at least before it sums them up, and those of all languages that it holds.
+SLICE, GATHERED, HELD = 1 << 19, 1 << 18, 1 << 21
 #: Entries of a shard of the model: what is broadcast at once, 12 bytes each.
 SHARD = 1 << 22
 # Odd multipliers, one for each place in a window, and one for the language.
@@ -103,14 +103,15 @@ class _Tally:
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size, self.most = 0, GATHERED
 
     def add(self, h: np.ndarray, n: np.ndarray, points: np.ndarray) -> None:
         self.parts.append((h, n, points))
         self.size += len(h)
-        if self.size > GATHERED and len(self.parts) > 1:
+        if self.size > self.most and len(self.parts) > 1:
             self.parts = [self.summed()]
             self.size = len(self.parts[0][0])
+            self.most = max(GATHERED, 2 * self.size)  # so that sums stay few where many n-grams differ
 
     def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, n, points = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -143,7 +144,7 @@ def ngram_counts(docs: DataFrame, lang_col: str, text_col: str = "text") -> Data
                     tally = tallies.setdefault(lang, _Tally())
                     for points, starts, _ in slices(texts):
                         tally.add(*_counted_slice(points, starts, seed_of(lang)))
-            if sum(t.size for t in tallies.values()) > 4 * GATHERED:
+            if sum(t.size for t in tallies.values()) > HELD:
                 yield from emitted(tallies)
                 tallies = {}
         yield from emitted(tallies)
@@ -161,7 +162,7 @@ def ngram_counts(docs: DataFrame, lang_col: str, text_col: str = "text") -> Data
 
     small_batches(docs.sparkSession)
     rows = docs.select(language_key(col(lang_col)).alias("lang"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lambda batches: given_back(run(batches)), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 # --- fitting ---
@@ -225,7 +226,7 @@ def hash_arrays(found: DataFrame) -> DataFrame:
             cost = np.rint(-np.log(batch.column(2).to_numpy()) * UNIT).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cost)], names=["h", "cost"])
 
-    return found.select("lang", "gram", "p").mapInArrow(run, "h long, cost int")
+    return found.select("lang", "gram", "p").mapInArrow(lambda batches: given_back(run(batches)), "h long, cost int")
 
 
 class Model:

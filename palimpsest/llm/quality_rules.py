@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import LOWER, SPACES, col, small_batches, split_batch, without, written
+from palimpsest.llm.common import LOWER, SPACES, col, given_back, small_batches, split_batch, without, written
 from palimpsest.llm.perplexity import PARTS, SHARD, UNIT, Model, costs, fitted, language_key
 
 COUNTED = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType())]
@@ -104,7 +104,7 @@ def scored(docs: DataFrame, model: Model, columns: list[str], lang_col: str = "l
                 exact = pa.array([None] * len(texts) if alone else [score_key(*x) for x in zip(langs, texts, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:kept], *found, *made, exact], names=names)
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(lambda batches: given_back(run(batches)), schema)
     if not alone:
         rest = _other_shards(rows.select("__key", "__text"), model)
         out = out.join(rest, F.col("__score_key") == F.col("key"), "left").withColumns({"__cost": F.col("__cost") + F.coalesce("cost", F.lit(0)), "__windows": F.col("__windows") + F.coalesce("windows", F.lit(0))})
@@ -134,7 +134,7 @@ def _other_shards(rows: DataFrame, model: Model) -> DataFrame:
                     keys = pa.array([score_key(*x) for x in zip(langs, texts, strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([keys, *map(pa.array, costs(langs, texts, shard.value))], names=["key", "cost", "windows"])
 
-        parts.append(written(rows.mapInArrow(run, PARTS).groupBy("key").agg(F.min("cost").alias("cost"), F.min("windows").alias("windows"))))
+        parts.append(written(rows.mapInArrow(lambda batches, run=run: given_back(run(batches)), PARTS).groupBy("key").agg(F.min("cost").alias("cost"), F.min("windows").alias("windows"))))
         shard.unpersist()
     return functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.sum("cost").alias("cost"), F.sum("windows").alias("windows"))
 

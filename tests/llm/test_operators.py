@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import byte_bpe, byte_cnn, chat, exact_dedup, mixing, ngram_join, perplexity, pii, quality_rules, queries, sequence_tagger, token_counts, toxicity
+from palimpsest.llm import byte_bpe, byte_cnn, chat, common, exact_dedup, mixing, ngram_join, perplexity, pii, quality_rules, queries, sequence_tagger, token_counts, toxicity
 from palimpsest.llm.common import safe_parts
 from tests.conftest import DATA, rows
 
@@ -231,6 +231,31 @@ def test_long_texts_in_slices(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, sliced, strict=True)) and counted == [quality_rules.counts(t) for t in texts]
 
 
+def test_memory_is_given_back():
+    """What a task has freed below a block that is still held leaves its worker."""
+    held, pages = [], lambda: int(open("/proc/self/statm").read().split()[1])
+
+    def task():
+        blocks = [bytearray(b"x") * 60_000 for _ in range(2500)]
+        held.append(bytearray(b"x") * 60_000)
+        yield pages()
+        blocks.clear()
+
+    (full,) = common.given_back(task())
+    assert (full - pages()) * 4096 > 100 << 20
+
+
+def test_few_ngrams_are_held():
+    """n-grams that repeat are summed up before many have gathered, and none is lost."""
+    tally, most = perplexity._Tally(), 0
+    h, points = np.arange(100_000).astype(np.uint64), np.arange(500_000).astype(np.uint32).reshape(-1, perplexity.ORDER)
+    for _ in range(20):
+        tally.add(h, np.ones(len(h), np.int64), points)
+        most = max(most, sum(len(x[0]) for x in tally.parts))
+    found, n, _ = tally.summed()
+    assert len(found) == len(h) and (n == 20).all() and most <= 1 << 18
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.75), ("op3_quality_classifier", "quality", 0.9)])
 def test_held_out_ranking(spark, name, label, least):
     folder = DATA.replace("0.001", "0.01")
